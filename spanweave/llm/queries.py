@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_join, packing, quality, token_counts, toxicity
+from . import decontamination, exact_dedup, licences, ngram_join, packing, quality, token_counts, toxicity
 from .common import crc32_mod, table
 
 
@@ -22,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), scores)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.matches(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -33,6 +37,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "weight")
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -51,8 +59,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
@@ -65,4 +75,31 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+
+
+def _op2_sql() -> str:
+    """Every unit against every template, by the definition."""
+    rows = ", ".join("('" + name + "', [" + ", ".join("'" + b + "'" for b in g) + "])" for name, t in licences.TEMPLATES.items() if (g := licences.bigrams(t)))
+    return rf"""
+WITH t(template, tg) AS (VALUES {rows}),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, string_split(text, chr(10)) AS us FROM d),
+b AS (SELECT doc_id, string_split_regex(text, '\n[ \t\r]*\n') AS us FROM d),
+u AS (
+  SELECT doc_id, 'line' AS unit_kind, generate_subscripts(us, 1) - 1 AS unit, unnest(us) AS u FROM l
+  UNION ALL
+  SELECT * FROM (SELECT doc_id, 'block' AS unit_kind, generate_subscripts(us, 1) - 1 AS unit, unnest(us) AS u FROM b) WHERE contains(u, chr(10))
+),
+w AS (SELECT doc_id, unit_kind, unit, string_split(trim(regexp_replace(lower(u), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u),
+g AS (SELECT doc_id, unit_kind, unit, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM w WHERE len(w) > 1),
+s AS (
+  SELECT doc_id, unit_kind, unit, template, len(list_intersect(g, tg)) AS i, len(g) + len(tg) AS n
+  FROM g, t WHERE list_has_any(g, tg)
+)
+SELECT doc_id, unit_kind, CAST(unit AS BIGINT) AS unit, template, CAST(2000 * i // n AS BIGINT) AS dice
+FROM s WHERE 200 * i >= {licences.THRESHOLD} * n
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit_kind, unit ORDER BY 2000 * i // n DESC, template) = 1
+""".replace("\\\\", "\\")
+
+
+ORACLES: dict[str, str] = {"op2_license_scan": _op2_sql(), "op6_exact_dedup": OP6_SQL}
