@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, licences, ngram_join, packing, quality, token_counts, toxicity
-from .common import crc32_mod, table
+from . import chat, decontamination, exact_dedup, licences, ngram_join, packing, quality, token_counts, toxicity, warc
+from .common import crc32_mod, scratch_dir, table
 
 
-def _vocabulary(name: str) -> str:
+#: Scores from here on count as label 1.
+QUALITY_LEAST = TOXIC_LEAST = 0.7
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = token_counts.piece_scores(_vocabulary("piece_bpe_32k.model"))
+    scores = token_counts.piece_scores(vocabulary("piece_bpe_32k.model"))
     return token_counts.token_counts(table(spark, sf_dir, "documents"), scores)
 
 
@@ -27,14 +32,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = toxicity.fit(docs, labels, crc32_mod("doc_id", 3) != 1)
     held = (crc32_mod("doc_id", 3) == 1).alias("held_out")
-    return toxicity.score(docs, lexicon).select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "weight")
+    return toxicity.score(docs, lexicon).select("doc_id", held, "score", (F.col("score") >= TOXIC_LEAST).cast("int").alias("predicted"), "weight")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,18 +50,38 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_dir(spark)}/warc"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read_all(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, crc32_mod("doc_id", 4) != 2)
     held = (crc32_mod("doc_id", 4) == 2).alias("held_out")
     scored = quality.score(docs, model).withColumnRenamed("__score", "score")
-    return scored.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held, "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    rows = rows.withColumn("turn", F.coalesce("turn", F.lit(-(2**63))))
+    # A conversation is a tree with one branch: each turn answers the one before it.
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    steps = rows.select("conv_id", "turn").distinct().withColumn("parent", F.lag("turn").over(before))
+    r, s = rows.alias("r"), steps.alias("s")
+    joined = r.join(s, F.col("r.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("r.turn") == F.col("s.turn")))
+    messages = joined.select(F.col("r.conv_id").alias("tree"), F.col("r.turn").alias("node"), "parent", "role", "text", F.lit(0.0).alias("score"))
+    return chat.digests(chat.format_paths(messages, best=None)).withColumnRenamed("tree", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -64,8 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 #: Texts are equal by their normal form, so its SHA-256 stands for the group.
@@ -76,6 +103,39 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+#: What reading the archives back must give; base32 of the SHA-1 is spelled from its bits.
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages
+), d AS (
+  SELECT page_id, x, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+    list_transform(range(0, 40), lambda i: (strpos('0123456789abcdef', x[i + 1]) - 1)) AS v FROM p
+), b AS (
+  SELECT page_id, x, payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + list_sum(list_transform(range(0, 5), lambda j: ((v[(5 * k + j) // 4 + 1] >> (3 - (5 * k + j) % 4)) & 1) << (4 - j)))::INT, 1)), '') AS payload_digest FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM b WINDOW w AS (PARTITION BY x)
+"""
+
+#: The template is reversible, so its text's length follows from what it escapes.
+OP10_SQL = r"""
+WITH c AS (
+  SELECT conv_id, coalesce(turn, -9223372036854775808) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+), e AS (
+  SELECT *, length(role) + len(regexp_extract_all(role, '\\|###|</turn>|\n')) AS x, length(text) + len(regexp_extract_all(text, '\\|###|</turn>')) AS y FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + x + 2 + y + 9) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 
 def _op2_sql() -> str:
     """Every unit against every template, by the definition."""
@@ -99,7 +159,7 @@ s AS (
 SELECT doc_id, unit_kind, CAST(unit AS BIGINT) AS unit, template, CAST(2000 * i // n AS BIGINT) AS dice
 FROM s WHERE 200 * i >= {licences.THRESHOLD} * n
 QUALIFY row_number() OVER (PARTITION BY doc_id, unit_kind, unit ORDER BY 2000 * i // n DESC, template) = 1
-""".replace("\\\\", "\\")
+"""
 
 
-ORACLES: dict[str, str] = {"op2_license_scan": _op2_sql(), "op6_exact_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": _op2_sql(), "op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op10_chat_formatting": OP10_SQL}
