@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import array
 import os
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -56,18 +57,34 @@ class WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        from tokenizers.pre_tokenizers import ByteLevel
+
         self.tokenizer = Tokenizer.from_file(path)
         self.cores: dict[str, bytes] = {}
+        # The letters that stand for the UTF-8 bytes of letters below U+0250, where the file has the usual normal form
+        # (NFC, lower case) and byte-level pre-tokens; the model alone is then asked, which spares two passes a word.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.sign = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(97, 123)}
+        for high in range(0xC3, 0xCA):
+            for low in range(0x80, 0xC0):
+                self.sign[high], self.sign[low] = level.pre_tokenize_str(bytes([high, low]).decode())[0][0]
+        self.plain = all(self.word(w) == self.ids(w) for w in ("word", "déjà", "größe", "niño", "ðžŧ"))
 
     def ids(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def word(self, low: str) -> bytes:
+        """As ids(), for lower-case letters in normal form."""
+        text = low if low.isascii() else low.encode().decode("latin-1").translate(self.sign)
+        return array.array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(_TAIL)
-        if core.isalpha():
-            low = core.lower() if core.isascii() else core
+        # Letters whose normal form is letters again; elsewhere it may run on into the marks that follow.
+        if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core and unicodedata.is_normalized("NFC", core):
+            low = core.lower()
             if (out := self.cores.get(low)) is None:
-                out = self.cores[low] = self.ids(low)
+                out = self.cores[low] = self.word(low) if self.plain else self.ids(low)
             if len(core) < len(word):
                 out += self[word[len(core) :]]
         else:
