@@ -1,4 +1,4 @@
-"""What Python workers need: the package itself, sent by the driver where a cluster has not installed it."""
+"""What Python workers need: the package itself, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
@@ -11,8 +11,15 @@ from pyspark.sql import SparkSession
 _SENT: set[str] = set()
 
 
+#: Bounds of an Arrow batch, for sessions that keep Spark's defaults: rows with whole texts are large.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "16777216")}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's modules to the executors once for each application (some hundred KB)."""
+    """Send this package's modules to the executors once for each application (some hundred KB); bound Arrow batches."""
+    for name, (usual, ours) in BATCH.items():
+        if usual is None or spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, ours)
     app = spark.sparkContext.applicationId
     if app in _SENT:
         return
