@@ -6,7 +6,7 @@ word beginnings, learned from labelled rows by their log-odds; further entries m
 word's beginning, and not inside an exception phrase. The weighted hits, the same in proportion to the text's length,
 and the number of different entries go into a logistic function.
 
-Learning takes a bounded sample of labelled rows (limit, 8,000 by default), whole texts; the lexicon has a bounded
+Learning takes a bounded sample of labelled rows (limit, 6,000 by default), whole texts; the lexicon has a bounded
 size. Scoring covers every row and whole text where the row is read, without a shuffle.
 
 Defined cases: null and empty text have no hits and the lowest score; without labelled rows of both kinds the lexicon
@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, texts
 from .samples import labelled_sample
 
-SAMPLE, ENTRIES, LEAST_DOCS = 8000, 400, 5
+SAMPLE, ENTRIES, LEAST_DOCS = 6000, 400, 5
 #: Harmless phrases that hold words of abuse.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "sore loser", "pond scum", "scum line", "idiot proof", "killer whale")
 #: Look-alikes of Latin letters in Cyrillic and Greek, and signs and digits used for letters.
@@ -102,14 +103,23 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def patterns(text: str) -> set[str]:
+    """The words of a text and, with a star, their beginnings of 4 to 8 letters."""
+    words = set(_WORD.findall(fold(text)))
+    return {w[:k] + "*" for w in words for k in range(4, min(len(w), 8) + 1)} | words
+
+
 def learn_entries(rows: list[tuple[str, int]]) -> dict[str, tuple[float, bool]]:
     """Words and word beginnings that mark label 1: what adds most evidence first, each explaining rows anew."""
-    by: dict[int, list[set[str]]] = {0: [], 1: []}
-    for text, y in rows:
-        words = set(_WORD.findall(fold(text)))
-        by[y].append({w[:k] + "*" for w in words for k in range(4, min(len(w), 8) + 1)} | words)
-    pos, neg = Counter(p for s in by[1] for p in s), Counter(p for s in by[0] for p in s)
-    n1, n0 = len(by[1]), len(by[0])
+    sides = {y: [t for t, v in rows if v == y] for y in (0, 1)}
+    n1, n0 = len(sides[1]), len(sides[0])
+    # Rows with a hash bucket bound the rows with any pattern in it; only patterns above the least are then counted.
+    buckets = np.zeros(1 << 22, dtype=np.int32)
+    for text in sides[1]:
+        buckets[list({zlib.crc32(p.encode()) & (1 << 22) - 1 for p in patterns(text)})] += 1
+    pos = Counter(p for text in sides[1] for p in patterns(text) if buckets[zlib.crc32(p.encode()) & (1 << 22) - 1] >= LEAST_DOCS)
+    pos = Counter({p: n for p, n in pos.items() if n >= LEAST_DOCS})
+    neg = Counter(p for text in sides[0] for p in patterns(text) if p in pos)
 
     def weight(p: str) -> float:
         return math.log((pos[p] + 0.5) / (n1 + 1)) - math.log((neg[p] + 0.5) / (n0 + 1))
@@ -124,12 +134,17 @@ def learn_entries(rows: list[tuple[str, int]]) -> dict[str, tuple[float, bool]]:
         return 2 * out
 
     # A word or beginning may be common to some language that labels favour by chance: it must be strongly marked.
-    names = [p for p in pos if pos[p] >= LEAST_DOCS and weight(p) >= 1.2 and gain(pos[p], neg[p]) >= 12.0]
+    names = [p for p in pos if pos[p] >= LEAST_DOCS and weight(p) >= 1.2 and gain(pos[p], neg[p]) >= 20.0]
     names.sort(key=lambda p: (-gain(pos[p], neg[p]), not p.endswith("*"), -len(p), p))
+    wanted = set(names)
+    having: dict[str, list[int]] = {p: [] for p in names}
+    for i, text in enumerate(sides[1]):
+        for p in patterns(text) & wanted:
+            having[p].append(i)
     out: dict[str, tuple[float, bool]] = {}
     covered, taken = [0] * n1, {}
     for p in names:
-        fresh = [i for i, s in enumerate(by[1]) if p in s]
+        fresh = having[p]
         new = sum(covered[i] < 3 for i in fresh)
         bare = p.rstrip("*")
         if new < 3 or any(bare.startswith(q) and not whole for q, (_, whole) in out.items()):
