@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audit, intervals
+from . import audit, detection, intervals, streams
 
-MODULES = (intervals, audit)
+MODULES = (detection, intervals, audit, streams)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
