@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship_package
+from ..runtime import scratch_dir, ship_package
 
 #: Space, tab, line feed, vertical tab, form feed and carriage return.
 WHITE = r"[\x20\x09-\x0D]+"
 
-_SCRATCH: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Where that setting is unset (a single machine, as in tests) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if "local" not in _SCRATCH:
-            folder = tempfile.TemporaryDirectory(prefix="spanweave-", ignore_cleanup_errors=True)
-            atexit.register(folder.cleanup)
-            _SCRATCH["local"] = "file://" + folder.name
-        base = _SCRATCH["local"]
-    return f"{base.rstrip('/')}/spanweave-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, a lost executor costs a reread."""
     spark = df.sparkSession
