@@ -75,16 +75,19 @@ def paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     jump = n.join(k, F.col("n.tree").eqNullSafe(F.col("k.tree")) & (F.col("n.parent") == F.col("k.up")), "left")
     score = F.coalesce("n.score", F.lit(0.0)).cast("double").alias("score")
     jump = stage(jump.select("n.tree", "n.node", "k.up", score, F.lit(1).cast("bigint").alias("steps")), "jump0")
-    own = jump
-    tables = [jump]
-    total = nodes.count()
-    while (1 << len(tables)) <= 2 * total and not jump.where("up is not null").isEmpty():
-        a, b = jump.alias("a"), jump.alias("b")
-        twice = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left")
-        jump = stage(twice.select("a.tree", "a.node", "b.up", (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps")), f"jump{len(tables)}")
-        tables.append(jump)
+    # Nodes whose ancestor is past the root are done and leave the doubling; only longer paths go on.
+    own, tables, total = jump, [], nodes.count()
+    done = jump.where("up is null")
+    live = jump.where("up is not null")
+    while (1 << len(tables)) <= 2 * total and not live.isEmpty():
+        tables.append(live)
+        a, b = live.alias("a"), live.unionByName(done).alias("b")
+        twice = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
+        twice = twice.select("a.tree", "a.node", "b.up", (F.col("a.score") + F.col("b.score")).alias("score"), (F.col("a.steps") + F.col("b.steps")).alias("steps"))
+        twice = stage(twice, f"jump{len(tables)}")
+        done, live = done.unionByName(twice.where("up is null")), twice.where("up is not null")
     inner = own.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    c, d = jump.where("up is null").alias("c"), inner.alias("d")  # what still has an ancestor is in a cycle
+    c, d = done.alias("c"), inner.alias("d")  # what still has an ancestor is in a cycle
     leaves = c.join(d, F.col("c.tree").eqNullSafe(F.col("d.tree")) & (F.col("c.node") == F.col("d.node")), "left_anti").select("tree", F.col("node").alias("leaf"), "score", "steps")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     if best is not None:
@@ -92,7 +95,7 @@ def paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     ranked = stage(ranked, "leaves")
     on = ranked.select("tree", "leaf", F.col("leaf").alias("node"), (F.col("steps") - 1).alias("step"))
     for k, table in enumerate(tables):
-        e, f = on.alias("e"), table.where("up is not null").alias("f")
+        e, f = on.alias("e"), table.alias("f")
         more = e.join(f, F.col("e.tree").eqNullSafe(F.col("f.tree")) & (F.col("e.node") == F.col("f.node"))).select("e.tree", "leaf", F.col("up").alias("node"), (F.col("step") - (1 << k)).alias("step"))
         on = stage(on.unionByName(more), f"on{k}")
     g, h = on.alias("g"), ranked.alias("h")
@@ -104,12 +107,13 @@ def format_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
 
     messages: tree, node, parent, role, text, score; several rows of one node follow each other in its step.
     """
+    messages = messages.select("tree", "node", "parent", "role", "text", "score")
     nodes = messages.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.sum("score").alias("score"))
     chosen = paths(stage(nodes, "nodes"), best)
-    g, m = chosen.alias("g"), messages.alias("m")
-    rows = g.join(m, F.col("g.tree").eqNullSafe(F.col("m.tree")) & F.col("g.node").eqNullSafe(F.col("m.node")))
+    g, m = chosen.alias("g"), messages.select("tree", "node", "role", "text").alias("m")
+    rows = g.join(m, F.col("g.tree").eqNullSafe(F.col("m.tree")) & F.col("g.node").eqNullSafe(F.col("m.node"))).drop(F.col("m.tree"), F.col("m.node"))
     turn = F.struct("step", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    each = rows.groupBy("g.tree", "leaf", "rank", "g.score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    each = rows.groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
     def of(batch: pa.RecordBatch) -> dict:
         done = [render([(t["role"], t["text"]) for t in turns.as_py()]) for turns in batch.column(4)]
