@@ -10,11 +10,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Frames of a source that one window holds when runs are made.
+STRETCH = 1 << 16
+
+
 def runs(df: DataFrame, flag: Column, keys: list[str], frame: str = "frame") -> DataFrame:
-    """Half-open runs of consecutive frames for which flag holds."""
-    w = Window.partitionBy(*keys).orderBy(frame)
-    marked = df.where(flag).withColumn("__island", F.col(frame) - F.row_number().over(w))
-    return marked.groupBy(*keys, "__island").agg(F.min(frame).alias("start"), (F.max(frame) + 1).alias("end")).drop("__island")
+    """Half-open runs of consecutive frames for which flag holds.
+
+    Frames become runs within stretches of a source first, so a source with most of the rows is dealt over many tasks;
+    only the runs meet by source, where those that touch are joined.
+    """
+    part = [*keys, "__stretch"]
+    marked = df.where(flag).withColumn("__stretch", F.floor(F.col(frame) / STRETCH))
+    marked = marked.withColumn("__island", F.col(frame) - F.row_number().over(Window.partitionBy(*part).orderBy(frame)))
+    pieces = marked.groupBy(*part, "__island").agg(F.min(frame).alias("start"), (F.max(frame) + 1).alias("end")).drop("__island", "__stretch")
+    return merge_gaps(pieces, keys, 0)
 
 
 def _merged(df: DataFrame, keys: list[str], starts_new: Column, extra: list[Column]) -> DataFrame:
