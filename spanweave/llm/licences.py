@@ -1,10 +1,12 @@
 """Licence scan by Dice coefficient over word bigrams, with DataFrame functions alone.
 
-Units of a text are its lines, its blocks of lines between empty lines, and the whole text. A unit and a template are
+Units of a text are its lines and its blocks of lines between lines without letters or digits (the whole text, if there
+is none). A unit and a template are
 normalised to lower-case words; their similarity is 2 * common / (a + b) over sets of word bigrams. A template stays a
 candidate only where the unit's size lies within t / (2 - t) and (2 - t) / t of its own, and where the unit holds one
-of the bigrams of which any unit at the threshold must have one (the template's longest, so the rarest by far). Common
-bigrams are counted for what is left. The templates are few and fixed, so they travel in the plan; nothing is joined
+of the bigrams of which any unit at the threshold must have one (those with the template's longest words, so the rarest
+by far). A unit without any of these long words is dropped before bigrams are made. Common bigrams are counted for what
+is left. The templates are few and fixed, so they travel in the plan; nothing is joined
 or shuffled.
 
 Defined cases: null and empty texts, and units of fewer than two words, match nothing; of equal scores the template
@@ -19,8 +21,6 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
-
 THRESHOLD = 80
 #: Notices and licence texts as their publishers give them, names and years left out.
 TEMPLATES = {
@@ -45,9 +45,13 @@ TEMPLATES = {
 
 
 def bigrams(text: str) -> list[str]:
-    """Distinct word bigrams of a template, the longest first."""
+    """Distinct word bigrams of a template, those with the longest words first."""
     words = re.sub(r"[\W_]+", " ", text.lower()).split()
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}, key=lambda b: (-len(b), b))
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}, key=lambda b: (-len(long_word(b)), -len(b), b))
+
+
+def long_word(bigram: str) -> str:
+    return max(bigram.split(" "), key=lambda w: (len(w), w))
 
 
 def size_bounds(size: int, threshold: int) -> tuple[int, int]:
@@ -68,15 +72,25 @@ def matches(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: int
     bounds = {name: size_bounds(len(g), threshold) for name, g in known.items()}
     low, high = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
     signs = sorted({b for g in known.values() for b in needed_prefix(g, threshold)})
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    # One pass over a text: normalised with its line ends left in, then taken apart.
+    text = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"))
-    lines = docs.select("id", F.lit("line").alias("unit_kind"), F.posexplode(F.split("text", "\n")).alias("unit", "u"))
-    blocks = docs.where(F.col("text").rlike(r"\n")).select("id", F.lit("block").alias("unit_kind"), F.posexplode(F.split("text", r"\n[ \t\r]*\n")).alias("unit", "u"))
-    # A unit with more characters than bigrams of the largest size need is too long for any template.
-    blocks = blocks.where(F.col("u").contains("\n"))
-    units = lines.unionByName(blocks)
-    words = units.select("id", "unit_kind", "unit", F.split(words_of(F.col("u")), " ").alias("w")).where(F.size("w") > low)
-    grams = words.withColumn("g", F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))).drop("w")
+
+    def units(kind: str, parts):
+        return F.transform(parts, lambda u, i: F.struct(F.lit(kind).alias("unit_kind"), i.alias("unit"), u.alias("u")))
+
+    lines = units("line", F.split("text", "\n"))
+    blocks = F.filter(units("block", F.split("text", r"\n *\n")), lambda x: x["u"].contains("\n"))
+    rows = docs.select("id", F.inline(F.when(F.col("text").contains("\n"), F.concat(lines, blocks)).otherwise(lines)))
+
+    def once(df, value, name: str):
+        """A column that is computed once for each row: filters on it are not pushed to where it is made."""
+        return df.select("id", "unit_kind", "unit", F.inline(F.array(F.struct(value.alias(name)))))
+
+    words = once(rows, F.split(F.trim(F.translate("u", "\n", " ")), " +"), "w")
+    words = words.where((F.size("w") > low) & F.arrays_overlap("w", F.array(*[F.lit(w) for w in sorted({long_word(s) for s in signs})])))
+    n = F.size("w")
+    grams = once(words, F.array_distinct(F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))), "g")
     near = grams.where(F.size("g").between(low, high) & F.arrays_overlap("g", F.array(*[F.lit(s) for s in signs])))
 
     def common(name: str):

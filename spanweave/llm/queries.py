@@ -136,15 +136,42 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+#: Shared shingles of all pairs, and what links reach: quadratic in shared passages, so for small tables.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w
+), n AS (SELECT doc_id, len(g) AS n FROM g), s AS (SELECT doc_id, unnest(g) AS s FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT n.doc_id, CAST(any_value(n) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id
+"""
+
+#: Equal words of all documents and items by their shift; a window of 13 aligned words decides.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+b AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
+dw AS (SELECT doc_id, len(w) AS nd, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS word FROM d),
+bw AS (SELECT item_id, len(w) AS ni, generate_subscripts(w, 1) - 1 AS q, unnest(w) AS word FROM b),
+m AS (SELECT doc_id, item_id, p - q AS shift, p, nd, ni FROM dw JOIN bw USING (word) WHERE word <> ''),
+g AS (SELECT doc_id, item_id, shift FROM m GROUP BY ALL HAVING 100 * count(*) >= 80 * least(13, min(ni))),
+k AS (SELECT m.*, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c FROM m SEMI JOIN g USING (doc_id, item_id, shift)),
+r AS (SELECT doc_id, item_id, shift, ni, count(*) AS matched, max(c) AS best FROM k WHERE least(shift + ni, nd) - greatest(shift, 0) >= least(13, ni) GROUP BY ALL)
+SELECT doc_id, item_id, matched AS matched_words, CAST(ni AS BIGINT) AS item_words, CAST(shift AS BIGINT) AS word_shift FROM r
+WHERE 100 * best >= 80 * least(13, ni) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, shift, ni DESC) = 1
+"""
+
 
 def _op2_sql() -> str:
     """Every unit against every template, by the definition."""
     rows = ", ".join("('" + name + "', [" + ", ".join("'" + b + "'" for b in g) + "])" for name, t in licences.TEMPLATES.items() if (g := licences.bigrams(t)))
     return rf"""
 WITH t(template, tg) AS (VALUES {rows}),
-d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS text FROM documents),
 l AS (SELECT doc_id, string_split(text, chr(10)) AS us FROM d),
-b AS (SELECT doc_id, string_split_regex(text, '\n[ \t\r]*\n') AS us FROM d),
+b AS (SELECT doc_id, string_split_regex(text, '\n *\n') AS us FROM d),
 u AS (
   SELECT doc_id, 'line' AS unit_kind, generate_subscripts(us, 1) - 1 AS unit, unnest(us) AS u FROM l
   UNION ALL
@@ -162,4 +189,4 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, unit_kind, unit ORDER BY 2000 *
 """
 
 
-ORACLES: dict[str, str] = {"op2_license_scan": _op2_sql(), "op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op10_chat_formatting": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": _op2_sql(), "op6_exact_dedup": OP6_SQL, "op7_warc": OP7_SQL, "op10_chat_formatting": OP10_SQL, "op5_benchmark_decontamination": OP5_SQL, "op9_ngram_join": OP9_SQL}
