@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the files of shuffles that staged tables have replaced go now, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,8 +48,11 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
         yield value.as_py() or ""
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow for functions from one record batch to a dict of columns (numpy arrays or lists)."""
+def map_arrow(df: DataFrame, function, schema: str, keeps: bool = False) -> DataFrame:
+    """mapInArrow for functions from one record batch to a dict of columns (numpy arrays or lists).
+
+    keeps: the function uses worker_cache; else what another operator kept there is let go.
+    """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -50,6 +60,8 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
+        if not keeps:
+            forget()
         for batch in batches:
             columns = function(batch)
             yield pa.RecordBatch.from_arrays(
@@ -67,3 +79,21 @@ def bounded(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Stage a narrow table; mark it for broadcast if it has at most so many rows, else leave it to a shuffled join."""
     df = stage(df, name)
     return F.broadcast(df) if df.count() <= rows else df
+
+
+_KEPT: dict[str, object] = {}
+
+
+def forget() -> None:
+    _KEPT.clear()
+
+
+def worker_cache(key: str, make):
+    """What a worker process keeps between its batches and tasks: one thing, that of the operator at work.
+
+    Workers live on from operator to operator, so what the one before kept is let go first.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

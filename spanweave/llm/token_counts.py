@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts
+from .common import map_arrow, texts, worker_cache
 
 MARK = "▁"
-MAX_NODES, LONG_WORD = 400_000, 200
+MAX_NODES, MAX_WORDS, LONG_WORD = 1_000_000, 500_000, 200
 _WHITE = re.compile(r"[ \t-\r]+")
 
 
@@ -46,78 +46,91 @@ class Trie:
     """Forward scores and counts by prefix. Node 0 is the empty prefix."""
 
     def __init__(self, scores: dict[str, float]) -> None:
-        self.scores, self.longest = scores, max(map(len, scores), default=1)
+        import ahocorasick
+
+        self.longest = max(map(len, scores), default=1)
         self.byte_score = min(scores.values(), default=0.0) - 10.0
+        self.chars = {p for p in scores if len(p) == 1}
+        self.ends = ahocorasick.Automaton()  # the pieces that end at a place, longest first
+        for piece, score in scores.items():
+            self.ends.add_word(piece, (len(piece), score))
+        self.ends.make_automaton()
         self.forget()
 
     def forget(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}
         self.best, self.count = [0.0], [0]
-        self.terminal: dict[str, int] = {}
-
-    def step(self, word: str, end: int, path: list[int], best: list[float], count: list[int]) -> tuple[float, int]:
-        """Score and count of word[:end]; path: the entries of best and count for its prefixes."""
-        top, pieces = -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
-            piece = self.scores.get(word[start:end])
-            if piece is not None and (total := best[path[start]] + piece) > top:
-                top, pieces = total, count[path[start]] + 1
-        if self.scores.get(word[end - 1]) is None:
-            n = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            if (total := best[path[end - 1]] + n * self.byte_score) > top:
-                top, pieces = total, count[path[end - 1]] + n
-        return top, pieces
+
+    def forward(self, word: str, known: int, best: list[float], count: list[int]) -> None:
+        """Fill in best and count of the prefixes of word beyond the first known characters."""
+        for char in word[known:]:
+            best.append(-math.inf)
+            count.append(0)
+        missing = [e for e in range(known + 1, len(word) + 1) if word[e - 1] not in self.chars]
+        at = 0
+        found = self.ends.iter(word, max(0, known + 1 - self.longest)) if len(self.ends) else ()
+        for end, (size, score) in found:
+            end += 1
+            if end <= known:
+                continue
+            while at < len(missing) and missing[at] < end:
+                self.spell(word, missing[at], best, count)
+                at += 1
+            if (total := best[end - size] + score) > best[end]:
+                best[end], count[end] = total, count[end - size] + 1
+        for end in missing[at:]:
+            self.spell(word, end, best, count)
+
+    def spell(self, word: str, end: int, best: list[float], count: list[int]) -> None:
+        """The last character by its bytes."""
+        n = len(word[end - 1].encode("utf-8", "surrogatepass"))
+        if (total := best[end - 1] + n * self.byte_score) > best[end]:
+            best[end], count[end] = total, count[end - 1] + n
 
     def insert(self, pretoken: str) -> int:
         """Tokens of a pre-token, scored along the trie; what a shared prefix has is used again."""
+        best, count = [0.0], [0]
         if len(pretoken) > LONG_WORD:
-            best, count = [0.0], [0]
-            path = list(range(len(pretoken) + 1))
-            for end in range(1, len(pretoken) + 1):
-                top, pieces = self.step(pretoken, end, path, best, count)
-                best.append(top)
-                count.append(pieces)
+            self.forward(pretoken, 0, best, count)
             return count[-1]
         if len(self.best) > MAX_NODES:
             self.forget()
-        node, path = 0, [0]
-        for end, char in enumerate(pretoken, 1):
-            nxt = self.child.get((node, char))
+        node, known, child = 0, 0, self.child
+        for char in pretoken:
+            nxt = child.get(node << 21 | ord(char))
             if nxt is None:
-                top, pieces = self.step(pretoken, end, path, self.best, self.count)
-                nxt = len(self.best)
-                self.child[node, char] = nxt
-                self.best.append(top)
-                self.count.append(pieces)
-            node = nxt
-            path.append(node)
-        self.terminal[pretoken] = self.count[node]
-        return self.count[node]
+                break
+            node, known = nxt, known + 1
+            best.append(self.best[node])
+            count.append(self.count[node])
+        if known < len(pretoken):
+            self.forward(pretoken, known, best, count)
+            for end in range(known, len(pretoken)):
+                child[node << 21 | ord(pretoken[end])] = node = len(self.best)
+                self.best.append(best[end + 1])
+                self.count.append(count[end + 1])
+        return count[-1]
 
 
 class _Terminals(dict):
+    """Counts of the pre-tokens that end in the trie."""
+
     def __init__(self, trie: Trie) -> None:
         self.trie = trie
 
     def __missing__(self, word: str) -> int:
-        if len(self) > MAX_NODES:
+        if len(self) > MAX_WORDS:
             self.clear()
         n = self[word] = self.trie.insert(MARK + word)
         return n
 
 
-_KNOWN: dict[str, _Terminals] = {}
-
-
 def token_counts(df: DataFrame, scores: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id, n_pretokens, n_tokens. scores: bounded by the vocabulary, so it travels with the function."""
     shared, key = df.sparkSession.sparkContext.broadcast(scores), uuid.uuid4().hex
 
     def of(batch: pa.RecordBatch) -> dict:
-        known = _KNOWN.get(key)
-        if known is None:
-            _KNOWN.clear()
-            known = _KNOWN[key] = _Terminals(Trie(shared.value))
+        known = worker_cache(key, lambda: _Terminals(Trie(shared.value)))
         n_pre, n_tok = [], []
         for text in texts(batch.column(1)):
             words = [w for w in _WHITE.split(text) if w]
@@ -127,4 +140,4 @@ def token_counts(df: DataFrame, scores: dict[str, float], id_col: str = "doc_id"
 
     kind = df.schema[id_col].dataType.simpleString()
     read = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(read, of, f"id {kind}, n_pretokens bigint, n_tokens bigint").withColumnRenamed("id", id_col)
+    return map_arrow(read, of, f"id {kind}, n_pretokens bigint, n_tokens bigint", keeps=True).withColumnRenamed("id", id_col)
