@@ -10,9 +10,11 @@ masks leave no such window without a hit, whichever words were replaced.
 Seeds are told apart in the scan: hits leave it as partial aggregates by document, item and shift, so repeated phrases
 do not multiply. The benchmark's seeds are broadcast only up to a bound of rows, and else joined by a shuffle.
 
-Defined cases: null and empty texts, and items with fewer words than a mask spans, are compared as whole word sequences
-only if they have words (an item shorter than the masks must occur in full); repeated rows each count; empty tables
-give no rows; further columns are ignored, or kept by decontaminate().
+Masks promise nothing for items of fewer than 13 words. Such an item may lack a fifth of its words, so it is cut into
+one part more than that; one part must occur in full, and the parts are its seeds.
+
+Defined cases: null and empty texts match nothing; rows that repeat an id count as one document; empty tables give no
+rows; further columns are ignored, or kept by decontaminate().
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def _words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _seeds(df: DataFrame, masks: tuple, span: int) -> DataFrame:
-    """id, at (from 0), seed: one row for each mask and window. A sequence shorter than the span has one seed of all."""
+    """id, at (from 0), seed: one row for each mask and window. Sequences shorter than the span have none."""
     hashed = df.select("id", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     shifted = [F.col("h") if k == 0 else F.slice("h", k + 1, F.greatest(F.size("h"), F.lit(1))) for k in range(span)]
     rows = hashed.where(F.size("h") >= span).select("id", F.posexplode(F.arrays_zip(*[x.alias(f"h{k}") for k, x in enumerate(shifted)])).alias("at", "z"))
@@ -60,11 +62,9 @@ def _equal(a: str, b: str) -> Column:
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", masks: tuple = MASKS, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """One row for each document and item that contaminates it: matched_words of item_words aligned, and where."""
     doc_words, item_words = _words(docs, id_col, text_col), _words(items, item_col, text_col)
-    span = 1 + max(max(m) for m in masks)
     hits = bounded(_hits(doc_words, item_words, masks), "hits")
-    # Items below the span cannot be seeded; they are looked for in full.
-    short = stage(item_words.where((F.size("w") < span) & (F.size("w") > 0)).select(F.col("id").alias("item"), F.col("w").alias("iw")), "short")
-    found = hits if short.isEmpty() else hits.unionByName(_short_hits(doc_words, short, span))
+    short = stage(item_words.where(F.size("w").between(1, window - 1)), "short")
+    found = hits if short.isEmpty() else hits.unionByName(_short_hits(doc_words, short, share)).distinct()
     # Only documents with a hit are read again, and each hit takes no more of them than the item's length.
     aligned = doc_words.join(found, "id").join(item_words.toDF("item", "iw"), "item")
     first, last = F.greatest(F.col("shift"), F.lit(0)), F.least(F.col("shift") + F.size("iw"), F.size("w"))
@@ -85,15 +85,21 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col
     )
 
 
-def _short_hits(docs: DataFrame, short: DataFrame, span: int) -> DataFrame:
-    """Where items with fewer words than a mask spans occur in full: windows of each such length, by one hash."""
-    parts = []
-    for n in range(1, span):
-        mask = (tuple(range(n)),)
-        known = _seeds(short.select(F.col("item").alias("id"), F.col("iw").alias("w")).where(F.size("iw") == n), mask, n)
-        known = bounded(known.select(F.col("id").alias("item"), "seed"), f"short{n}")
-        parts.append(_seeds(docs, mask, n).join(known, "seed").select("id", "item", F.col("at").alias("shift")).distinct())
-    return reduce(DataFrame.unionByName, parts)
+def _short_hits(docs: DataFrame, short: DataFrame, share: int) -> DataFrame:
+    """Hits of the parts of short items: in one of them no word may differ."""
+    n = F.size("w")
+    parts = n - F.ceil(n * share / 100).cast("int") + 1
+    cut = short.withColumn("parts", parts).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.withColumn("from", F.floor(F.col("k") * n / F.col("parts")).cast("int"))
+    cut = cut.withColumn("length", F.floor((F.col("k") + 1) * n / F.col("parts")).cast("int") - F.col("from"))
+    cut = stage(cut.select("id", "from", "length", F.slice("w", F.col("from") + 1, F.col("length")).alias("w")), "parts")
+    found = []
+    for length in sorted(r[0] for r in cut.select("length").distinct().collect()):  # lengths below the window's
+        mask = (tuple(range(length)),)
+        seeds = _seeds(cut.where(F.col("length") == length).select(F.struct("id", "from").alias("id"), "w"), mask, length)
+        known = bounded(seeds.select("id.id", "id.from", "seed").toDF("item", "from", "seed").distinct(), f"short{length}")
+        found.append(_seeds(docs, mask, length).join(known, "seed").select("id", "item", (F.col("at") - F.col("from")).alias("shift")).distinct())
+    return reduce(DataFrame.unionByName, found)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
