@@ -1,0 +1,81 @@
+"""The queries and the pipeline over the driver's tables, against SQL or brute force."""
+
+import zlib
+
+import pytest
+from oracle import assert_same
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from spanweave.llm import exact_dedup, ngram_join, queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_oracle(spark, duck, sf_dir, name):
+    assert_same(queries.QUERIES[name](spark, sf_dir), duck, queries.ORACLES[name])
+
+
+@pytest.mark.parametrize(("name", "divisor", "rest"), [("op4_toxicity", 3, 1), ("op8_quality", 4, 2)])
+def test_classifiers_score_every_document(spark, duck, sf_dir, name, divisor, rest):
+    out = queries.QUERIES[name](spark, sf_dir).collect()
+    assert len(out) == duck.execute("SELECT count(*) FROM documents").fetchall()[0][0]
+    for r in out:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % divisor == rest)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+
+
+def test_pipeline_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    seen = [docs]
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, seen[-1], sf_dir)
+        assert out.columns == columns
+        seen.append(out.cache())
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    kept = {r.doc_id for r in seen[1].collect()}
+    known = [i for i in labels if i in {r.doc_id for r in docs.collect()}]
+    assert sum((i in kept) == (labels[i] == 1) for i in known) / len(known) > 0.8
+    texts = [exact_dedup.normalise(r.text.encode()) for r in seen[2].collect()]
+    assert len(texts) == len(set(texts)) == len({exact_dedup.normalise(r.text.encode()) for r in seen[1].collect()})
+    comps = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(seen[2]).collect()}
+    assert {r.doc_id for r in seen[3].collect()} == set(comps.values())
+    packed = corpus_pipeline.STAGES[-1][1](spark, seen[4], sf_dir)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in seen[4].collect()}
+    for df in seen[1:]:
+        df.unpersist()
+
+
+ODD = [(1, None, "en", None, None), (2, "", None, "s", 0), (3, " \n", "en", "s", 2), (3, " \n", "en", "s", 2), (None, "no id at all here", "en", "s", 1), (5, "one two three four five six " * 2000, "en", "s", 9), (6, "a b c d e f g", "de", "s", 3), (7, "a  b c d e f g", "de", "s", 3), (8, "A b c d e f g", "de", "s", 3)]
+
+
+def tables(spark, folder, documents):
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+    write("documents", documents, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    write("labels", [(1, 1, None), (None, 0, 1), (6, None, 0)], "doc_id bigint, quality int, toxic int")
+    write("benchmark", [(1, None), (None, ""), (3, "x y")], "item_id bigint, text string")
+    write("pages", [(None, None, None), (1, None, "x")], "page_id bigint, url string, html string")
+    write("conversations", [(None, None, None, None), (1, 1, "assistant", None), (1, 1, "assistant", None)], "conv_id bigint, turn bigint, role string, text string")
+    return folder
+
+
+@pytest.mark.parametrize("documents", [ODD, []])
+def test_nulls_and_empty_tables(spark, tmp_path, documents):
+    folder = tables(spark, f"{tmp_path}/t", documents)
+    n = len(documents)
+    for name, function in queries.QUERIES.items():
+        rows = function(spark, folder).count()
+        if name in ("op1_token_counts", "op4_toxicity", "op6_exact_dedup", "op8_quality", "op9_ngram_join"):
+            assert rows == n, name
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.select("*", F.lit(1).alias("id"), F.lit(2).alias("score"), F.lit(3).alias("n"))
+    for name, function in corpus_pipeline.STAGES:
+        out = function(spark, docs, folder)
+        out.write.parquet(f"{tmp_path}/{name}")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+    if documents:  # one label alone: all are accepted, and of each group of equal or near texts one stays
+        assert sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is None, i)) == [1, 3, 5, 6, None]
