@@ -8,13 +8,14 @@ of the residual that would be left is least (both relative to the capacities); t
 Pieces are dealt by a hash of their identity into groups of bounded expected size, and groups are packed on their own,
 so no task ever holds all pieces; a group loses at most its last, partly filled sequences. Full pieces need no search.
 
-Defined cases: null text counts as empty and is one piece holding the end token; texts longer than the capacity are cut
-into full pieces and a rest; equal pieces are all packed; an empty table gives no rows; further columns are ignored.
+Defined cases: null text counts as empty and is one piece holding the end token; texts longer than a sequence can hold are
+cut into full pieces and a rest; equal pieces are all packed; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import array
+import math
 import os
 import unicodedata
 import zlib
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts
+from .common import map_arrow, texts, worker_cache
 
 #: Rows that a packing group holds on average at most.
 GROUP_ROWS = 8192
@@ -45,6 +46,11 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3)
     rule: str = "norm"  # or "dot"
 
+    @property
+    def piece(self) -> int:
+        """The longest piece that a sequence can hold alone."""
+        return max(1, min(self.tokens, math.isqrt(self.attention)))
+
 
 class WordIds(dict):
     """Bytes of the ids of a text between spaces; what is unknown is tokenized when asked for.
@@ -101,21 +107,11 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """One table for each worker process, which lives on through its tasks."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
-
-
 def pieces(df: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of each row: piece, start, length, ids_crc32."""
 
     def of(batch: pa.RecordBatch) -> dict:
-        words = word_ids(vocabulary)
+        words = worker_cache(vocabulary, lambda: WordIds(vocabulary))
         end, step = array.array("I", [end_id]).tobytes(), 4 * capacity
         rows, piece, start, length, crc = [], [], [], [], []
         for at, text in enumerate(texts(batch.column(1))):
@@ -131,7 +127,7 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
 
     kind = df.schema[id_col].dataType.simpleString()
     read = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(read, of, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_arrow(read, of, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint", keeps=True)
 
 
 def best_fit(lengths: np.ndarray, limit: Capacity) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +165,7 @@ def best_fit(lengths: np.ndarray, limit: Capacity) -> tuple[np.ndarray, np.ndarr
 
 def pack(df: DataFrame, vocabulary: str, limit: Capacity = Capacity(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each piece with the sequence that holds it and its offset there."""
-    bound = df.agg(F.sum(1 + F.floor(F.coalesce(F.octet_length(text_col), F.lit(0)) / limit.tokens))).first()[0] or 0
+    bound = df.agg(F.sum(1 + F.floor(F.coalesce(F.octet_length(text_col), F.lit(0)) / limit.piece))).first()[0] or 0
     groups = max(1, -(-bound // GROUP_ROWS))
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -178,7 +174,7 @@ def pack(df: DataFrame, vocabulary: str, limit: Capacity = Capacity(), end_id: i
         bins, places = best_fit(pdf["length"].to_numpy(), limit)
         return pdf.assign(sequence_id=key[0] * (1 << 32) + bins, offset=places)[["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    dealt = pieces(df, vocabulary, limit.tokens, end_id, id_col, text_col).withColumn("deal", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces(df, vocabulary, limit.piece, end_id, id_col, text_col).withColumn("deal", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
     packed = dealt.repartition(int(groups), "deal").groupBy("deal").applyInPandas(
         run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     )

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts
+from .common import map_arrow, texts, worker_cache
 from .samples import labelled_sample
 
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 16, 8, 6, 0.5, 17
 SAMPLE = 4000
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _REPEAT = zlib.crc32(b"\x00same same") % BUCKETS
 
 
@@ -86,8 +86,10 @@ def train(rows: list[tuple[str, int]]) -> Model:
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     layer, bias = np.zeros((DIM, 2)), np.zeros(2)
-    seen = [(*document_features(t), y) for t, y in rows]
-    seen = [(f, c / max(c.sum(), 1.0), y) for f, c, y in seen]
+    seen = []
+    for text, y in rows:
+        found, times = document_features(text)
+        seen.append((found.astype(np.int32), (times / max(times.sum(), 1.0)).astype(np.float32), y))
     steps, total = 0, EPOCHS * len(seen)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(seen)):
@@ -123,9 +125,6 @@ class _Words(dict):
         return out
 
 
-_KNOWN: dict[str, tuple] = {}
-
-
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = SAMPLE, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     return train(labelled_sample(docs, labels, label, learn, limit, id_col, text_col))
 
@@ -135,11 +134,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     shared, key = df.sparkSession.sparkContext.broadcast((model.weight.astype(np.float64), model.bias)), uuid.uuid4().hex
 
     def of(batch: pa.RecordBatch) -> dict:
-        if key not in _KNOWN:
-            _KNOWN.clear()
-            weight, bias = shared.value
-            _KNOWN[key] = (_Words(weight.tolist()), float(weight[_REPEAT]), bias)
-        words, repeat, bias = _KNOWN[key]
+        weight, bias = shared.value
+        words, repeat = worker_cache(key, lambda: _Words(weight.tolist())), float(weight[_REPEAT])
         out = []
         for text in texts(batch.column(batch.num_columns - 1)):
             parts = text.split()
@@ -156,4 +152,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     columns = df.columns if keep else [id_col]
     read = df.select(*[F.col(c) for c in columns], F.col(text_col).alias("__text"))
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns] + ["__score double"])
-    return map_arrow(read, of, schema)
+    return map_arrow(read, of, schema, keeps=True)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts
+from .common import map_arrow, texts, worker_cache
 from .samples import labelled_sample
 
 SAMPLE, ENTRIES, LEAST_DOCS = 6000, 400, 5
@@ -187,9 +187,6 @@ def train(rows: list[tuple[str, int]], given: dict[str, float] | None = None, ex
     return Lexicon(entries | learn_entries(rows), tuple(float(c) for c in coef), exceptions)
 
 
-_KNOWN: dict[str, tuple] = {}
-
-
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = SAMPLE, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     return train(labelled_sample(docs, labels, label, learn, limit, id_col, text_col))
 
@@ -199,13 +196,11 @@ def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str
     shared, key = df.sparkSession.sparkContext.broadcast(lexicon), uuid.uuid4().hex
 
     def of(batch: pa.RecordBatch) -> dict:
-        if key not in _KNOWN:
-            _KNOWN.clear()
-            _KNOWN[key] = (shared.value, shared.value.automaton())
-        lex, automaton = _KNOWN[key]
+        lex = shared.value
+        automaton = worker_cache(key, lex.automaton)
         found = [lex.features(fold(t), automaton) for t in texts(batch.column(1))]
         return {"id": batch.column(0), "score": [lex.score(x) for x in found], "weight": [math.expm1(x[0]) for x in found]}
 
     kind = df.schema[id_col].dataType.simpleString()
     read = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(read, of, f"id {kind}, score double, weight double").withColumnRenamed("id", id_col)
+    return map_arrow(read, of, f"id {kind}, score double, weight double", keeps=True).withColumnRenamed("id", id_col)
