@@ -105,7 +105,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
     # Copies meet as partial aggregates; only texts that occur twice go back to the rows.
     several = docs.groupBy("text_sha256", "recipe").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    joined = docs.join(several, ["text_sha256", "recipe"], "left")
+    joined = docs.join(bounded(several, "several", 200_000), ["text_sha256", "recipe"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("id").alias(id_col),
