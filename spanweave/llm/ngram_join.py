@@ -4,14 +4,14 @@ Links hold where 100 * |A & B| >= 80 * |A | B|, exactly. The way there:
 
 1. Equal sets are one node (their digest says so); only one document of each goes on.
 2. Routing, with no loss: in one order of all shingles, two sets that link share one of the first
-   n - ceil(0.8 n) + 1 of each. The order puts shingles last that a sample of documents shows to be frequent, so a
-   passage that many documents share does not bring them together; what the sample holds changes no result. Keys of
-   one document alone go; hot keys are salted while that is decided.
-3. In each block of documents with a common key, rounds of stars: all members against one centre. Vectors of shingle
-   counts by hash group bound the overlap by the sum of coordinate minima; what survives is verified on the sets.
-4. Blocks that the links found so far connect are done: more links in them would change no component. In the others
-   every member searches an R-tree over the members' count vectors, whose nodes bound the overlap by the coordinate
-   minima with their maxima; survivors in other components are verified. Large blocks are searched tile by tile.
+   n - ceil(0.8 n) + 1 of each. The order is by how often all documents fill the hash bucket of a shingle (a table of
+   fixed size), rare before frequent, so a passage that many documents share does not bring them together. Keys of one
+   document alone go; hot keys are salted while that is decided.
+3. In each block of documents with a common key, rounds of stars: all members against one centre, verified on the sets.
+   Blocks that links connect are done: more links in them would change no component.
+4. In the others every member becomes a point: its shingle counts by hash group, as many groups as its size asks for.
+   Each searches an R-tree over the members' points, whose nodes bound the overlap by the summed minima with their
+   coordinate maxima; survivors in other components are verified. Large blocks are searched tile by tile.
 5. Components are spread by alternating star contractions in the shared folder, never on the driver.
 
 Defined cases: null and empty text, and white space alone, have no shingles and link with nothing; fewer than five
@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -30,39 +31,80 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, map_arrow, ship_package, stage
+from .common import bounded, forget, map_arrow, release_shuffles, ship_package, stage
 
 WIDTH = 5
-GROUPS = 64
-SAMPLE_DOCS, HOT_LEAST, HOT_MOST = 4096, 8, 200_000
-SALTS = 64
+#: Bits of a shingle's bucket in the table of frequencies, and slices that the table is summed in.
+BUCKET_BITS, SLICES = 22, 64
+#: A bucket so many times as full as the mean is hot; its keys are salted.
+HOT_TIMES, HOT_LEAST, SALTS = 16, 256, 64
+#: Pairs with one centre that one task verifies, about.
+STAR = 1024
 ROUNDS = 2
+#: The coordinates of a set's finest vector are 2 ** FINE_BITS times those that its neighbour class searches by.
+FINE_BITS = 1
 TILE = 4096
-REMEMBERED = 400_000
+#: Blocks of at most so many members are compared without a tree.
+SMALL = 16
+#: Bytes of text that are hashed at once.
+BLOCK = 1 << 20
 _PLAIN = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+_TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=11) | 1 for b in range(256)], dtype=np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+_UP, _DOWN = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
 
+def _powers(n: int) -> None:
+    """Powers of an odd number and of its inverse modulo 2^64, up to the n-th at least."""
+    global _UP, _DOWN
+    if len(_UP) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        _UP, _DOWN = (np.concatenate([[np.uint64(1)], np.full(size - 1, f, np.uint64)]) for f in (_STEP, pow(_STEP, -1, 1 << 64)))
+        np.multiply.accumulate(_UP, out=_UP)
+        np.multiply.accumulate(_DOWN, out=_DOWN)
 
-_WORDS = _Words()
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of plain text: the sum of its bytes' numbers times powers of their places.
+
+    All words at once: sums over the text up to a word's ends, their difference moved back to the word's start.
+    """
+    a = np.frombuffer(data, np.uint8)
+    ink = np.zeros(len(a) + 2, np.int8)
+    ink[1:-1] = a != 32
+    edges = np.flatnonzero(ink[1:] != ink[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    _powers(len(a) + 1)
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_TABLE[a] * _UP[: len(a)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _DOWN[starts]
+    h ^= h >> np.uint64(31)
+    h *= _MIX[0]
+    return h ^ (h >> np.uint64(29))
 
 
 def shingles(data: bytes | None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct word 5-grams of a text."""
-    words = [w for w in (data or b"").translate(_PLAIN).split(b" ") if w]
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    data = (data or b"").translate(_PLAIN)
+    if len(data) <= BLOCK:
+        h = word_hashes(data)
+    else:  # long texts in blocks of whole words
+        parts, at = [], 0
+        while at < len(data):
+            end = data.find(b" ", at + BLOCK)
+            end = len(data) if end < 0 else end
+            parts.append(word_hashes(data[at:end]))
+            at = end
+        h = np.concatenate(parts)
+    if not len(h):
+        return h
     if len(h) < WIDTH:
-        h = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), np.uint64)
-        return h.copy()
+        return np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), np.uint64).copy()
     n = len(h) - WIDTH + 1
     out = h[:n] * _MIX[0]
     for k in range(1, WIDTH):
@@ -70,12 +112,48 @@ def shingles(data: bytes | None) -> np.ndarray:
         out += h[k : k + n]
         out *= _MIX[k]
     out ^= out >> np.uint64(32)
-    return np.unique(out)
+    out.sort()
+    new = np.ones(n, bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
+
+
+def size_class(n):
+    """Sizes of one class differ by a factor of 2 at most; a class and the next hold all partners of a size."""
+    return np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
+
+
+def groups(cls: int) -> int:
+    """Coordinates of the points of a class: two to four shingles in each group."""
+    return 1 << max(0, int(cls) - 1)
+
+
+def count_vector(s: np.ndarray) -> bytes:
+    """Shingle counts by hash group, packed; FINE times as many groups as the next higher class needs."""
+    bits = _bits(len(s))
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return zlib.compress(counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes(), 1)
+
 
+def _bits(n: int) -> int:
+    return max(0, int(size_class(n)) - 1) + 1 + FINE_BITS
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    """How many shingles fall in each group."""
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+
+def unpack(vector: bytes, n: int) -> np.ndarray:
+    data = zlib.decompress(vector)
+    return np.frombuffer(data, np.uint8 if len(data) == 1 << _bits(n) else np.uint32)
+
+
+def coarse(counts: np.ndarray, cls: int) -> np.ndarray:
+    """A count vector with the coordinates of a class: its own, the next lower or the next higher."""
+    return counts.reshape(groups(cls), -1).sum(axis=1, dtype=np.int32)
+
+
+def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The summed minima of two unpacked vectors, on the coordinates of the coarser."""
+    n = min(len(a), len(b))
+    a, b = (x if len(x) == n else x.reshape(n, -1).sum(axis=1) for x in (a, b))
+    return int(np.minimum(a, b).sum(dtype=np.int64))
 
 
 def needed(a, b):
@@ -83,16 +161,12 @@ def needed(a, b):
     return (80 * (a + b) + 179) // 180
 
 
-def prefix(s: np.ndarray, hot: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The first keys of a set: rare before frequent, by hash among equals. hot is sorted."""
+def prefix(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first keys of a set: by the level of their bucket, and by hash among equals."""
     n = len(s)
     size = n - (4 * n + 4) // 5 + 1 if n else 0
-    if len(hot) and n:
-        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-        often = np.where(hot[at] == s, weight[at], 0)
-        if often.any():
-            return s[np.argsort(often, kind="stable")[:size]]
-    return s[:size]
+    often = level[s >> np.uint64(64 - BUCKET_BITS)]
+    return s[np.argsort(often, kind="stable")[:size]] if often.any() else s[:size]
 
 
 def _id_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,64 +174,104 @@ def _id_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    def of(batch: pa.RecordBatch) -> dict:
-        n, digest = [], []
-        for value in batch.column(1):
-            s = shingles(value.as_py())
-            n.append(len(s))
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-        return {"id": batch.column(0), "n": n, "digest": digest}
+    """id, n, digest of each row; and from each task rows with slice and counts: how full its buckets are."""
+    schema = "id bigint, n bigint, digest binary, slice int, counts binary"
+    fields = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+    wide = (1 << BUCKET_BITS) // SLICES
+
+    def run(batches):
+        forget()
+        total = np.zeros(1 << BUCKET_BITS, np.uint32)
+        waiting: list[np.ndarray] = []
+        for batch in batches:
+            n, digest = [], []
+            for value in batch.column(1):
+                s = shingles(value.as_py())
+                n.append(len(s))
+                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                waiting.append((s >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+            if sum(map(len, waiting)) > 1 << 20:
+                total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.uint32)
+                waiting = []
+            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *none], schema=fields)
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.uint32)
+        if total.any():
+            parts = [zlib.compress(_narrow(total[k * wide : (k + 1) * wide]), 1) for k in range(SLICES)]
+            none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=fields)
 
-    return map_arrow(docs, of, "id bigint, n bigint, digest binary")
+    ship_package(docs.sparkSession)
+    return docs.mapInArrow(run, schema)
 
 
-def _lists(parts: list[np.ndarray], kind) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64) if kind == pa.int64() else flat, kind))
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts as bytes of the least width, which comes first."""
+    kind = next(k for k, most in (("u1", 1 << 8), ("u2", 1 << 16), ("u4", 1 << 32), ("u8", 1 << 64)) if int(counts.max(initial=0)) < most)
+    return kind.encode() + counts.astype(kind).tobytes()
+
+
+def _widen(data: bytes) -> np.ndarray:
+    data = zlib.decompress(data)
+    return np.frombuffer(data, data[:2].decode(), offset=2).astype(np.uint64)
 
 
-def _hot_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of about SAMPLE_DOCS documents holds HOT_LEAST times, and how often; at most HOT_MOST."""
-    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // SAMPLE_DOCS))) == 0)
+def _levels(base: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket's level of frequency, 0 where it is no fuller than chance makes it, and whether it is hot.
 
-    def of(batch: pa.RecordBatch) -> dict:
-        return {"s": _lists([shingles(v.as_py()) for v in batch.column(1)], pa.int64())}
+    The tables of all tasks are summed slice by slice, first in 32 parts of each, so no task holds many of them; what
+    comes to the driver has the size of one table.
+    """
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(_widen(x) for x in pdf["counts"])
+        return pd.DataFrame({"slice": [key[0]], "counts": [zlib.compress(_narrow(total), 1)]})
 
-    seen = map_arrow(sample, of, "s array<bigint>").select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("c"))
-    rows = seen.where(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "s").limit(HOT_MOST).toPandas()
-    hot = rows["s"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hot)
-    return hot[order], rows["c"].to_numpy(np.int64)[order]
+    rows = base.where("slice is not null").select("slice", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("part"))
+    once = rows.groupBy("slice", "part").applyInPandas(add, "slice int, counts binary")
+    parts = {r["slice"]: _widen(r["counts"]) for r in once.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()}
+    if not parts:
+        return np.zeros(1 << BUCKET_BITS, np.uint8), np.zeros(1 << BUCKET_BITS, bool)
+    # Slice by slice: the driver holds one table of bytes, not several of wide numbers.
+    mean = sum(int(x.sum()) for x in parts.values()) / (1 << BUCKET_BITS)
+    level, hot = [], []
+    for k in range(SLICES):
+        full = parts.pop(k).astype(np.float64)
+        over = full - (mean + 4 * np.sqrt(mean) + 2)
+        level.append(np.where(over > 0, 1 + np.floor(4 * np.log2(np.maximum(over, 1))), 0).astype(np.uint8))
+        hot.append(full > max(HOT_LEAST, HOT_TIMES * mean))
+    return np.concatenate(level), np.concatenate(hot)
 
 
-def _blocks(docs: DataFrame, hot: np.ndarray, weight: np.ndarray) -> DataFrame:
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64), pa.int64()))
+
+
+def _blocks(docs: DataFrame, level: np.ndarray, hot: np.ndarray) -> DataFrame:
     """key, id, n for keys of at least two documents (a hot key counts as such)."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot, weight))
+    shared = docs.sparkSession.sparkContext.broadcast((level, hot))
 
     def keys(batch: pa.RecordBatch) -> dict:
-        hot, weight = shared.value
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        level, hot = shared.value
         parts, sizes = [], []
         for value in batch.column(1):
             s = shingles(value.as_py())
             sizes.append(len(s))
-            parts.append(prefix(s, hot, weight))
-        flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        salt = np.zeros(len(flat), np.int32)
-        if len(hot) and len(flat):
-            at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
-            owner = np.repeat(ids, [len(p) for p in parts])
-            salt = np.where(hot[at] == flat, 1 + owner % SALTS, 0).astype(np.int32)
+            parts.append(prefix(s, level))
         ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        return {"id": batch.column(0), "n": sizes, "keys": _lists(parts, pa.int64()), "salts": pa.ListArray.from_arrays(pa.array(ends), pa.array(salt))}
+        flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(ends)) if len(parts) else np.empty(0, np.int64)
+        salt = np.where(hot[flat >> np.uint64(64 - BUCKET_BITS)], 1 + owner % SALTS, 0).astype(np.int32)
+        return {"id": batch.column(0), "n": sizes, "keys": _lists(parts), "salts": pa.ListArray.from_arrays(pa.array(ends), pa.array(salt))}
 
     rows = map_arrow(docs, keys, "id bigint, n bigint, keys array<bigint>, salts array<int>")
     rows = rows.select("id", "n", F.inline(F.arrays_zip("keys", "salts"))).withColumnsRenamed({"keys": "key", "salts": "salt"})
     dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
 
     def several(batches):
-        """Runs of one key that are longer than a row, or hot; a run may go on in the next batch."""
+        """Rows whose key the row before or after has too, or is hot; a run may go on in the next batch."""
         names = ["id", "n", "key", "salt"]
         held: dict | None = None  # the last row, if it is not yet known to have company
         last = None  # key of the last row, if that row was given out
@@ -169,10 +283,9 @@ def _blocks(docs: DataFrame, hot: np.ndarray, weight: np.ndarray) -> DataFrame:
                 c = {k: np.concatenate([held[k], c[k]]) for k in names}
             key = c["key"]
             same = key[1:] == key[:-1]
-            keep = np.zeros(len(key), bool)
+            keep = c["salt"] > 0
             keep[1:] |= same
             keep[:-1] |= same
-            keep |= c["salt"] > 0
             if last is not None and held is None:
                 keep |= (np.cumsum(np.concatenate([[False], ~same])) == 0) & (key[0] == last)
             if keep[-1]:
@@ -181,7 +294,6 @@ def _blocks(docs: DataFrame, hot: np.ndarray, weight: np.ndarray) -> DataFrame:
                 held, last = {k: v[-1:] for k, v in c.items()}, None
             yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in ("key", "id", "n")], names=["key", "id", "n"])
 
-    ship_package(docs.sparkSession)
     return dealt.mapInArrow(several, "key bigint, id bigint, n bigint")
 
 
@@ -214,34 +326,97 @@ class Searcher:
         return self.order[at]
 
 
-def _vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.int32).reshape(-1, GROUPS)
+def _search_group(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sides: np.ndarray, vectors: list, limit: int) -> list[tuple[int, int, int]]:
+    """Pairs of one tile in different components that may link, and whether a query has more.
+
+    Of a query's pairs with one component the limit of those with the greatest bounds are given, and 4 times as many in
+    all; one pair more says that there are others. sides: 0 queries and points, 1 queries, 2 points.
+    """
+    out: set[tuple[int, int, int]] = set()
+    if len(ids) <= SMALL:  # no tree: each pair's bound at once, and all pairs
+        counts = [unpack(v, int(n)) for v, n in zip(vectors, sizes, strict=True)]
+        number, size, comp, side = ids.tolist(), sizes.tolist(), comps.tolist(), sides.tolist()
+        for q in range(len(number)):
+            for k in range(q):
+                if comp[q] == comp[k] or side[q] == side[k] != 0 or 100 * min(size[q], size[k]) < 80 * max(size[q], size[k]):
+                    continue
+                if fine_bound(counts[q], counts[k]) >= needed(size[q], size[k]):
+                    out.add((min(number[q], number[k]), max(number[q], number[k]), 0))
+        return sorted(out)
+    classes = size_class(sizes)
+    for cls in np.unique(classes[sides != 1]).tolist():
+        points = np.flatnonzero((classes == cls) & (sides != 1))
+        tree = Searcher(np.stack([coarse(unpack(vectors[k], int(sizes[k])), cls) for k in points]), sizes[points])
+        for q in np.flatnonzero((np.abs(classes - cls) <= 1) & (sides != 2)).tolist():
+            own = unpack(vectors[q], int(sizes[q]))
+            at = points[tree.search(coarse(own, cls), int(sizes[q]))]
+            at = at[comps[at] != comps[q]]
+            if not len(at):
+                continue
+            bound = np.array([fine_bound(own, unpack(vectors[k], int(sizes[k]))) for k in at.tolist()])
+            fits = bound >= needed(int(sizes[q]), sizes[at])
+            at, bound = at[fits], bound[fits] / sizes[at][fits]
+            given: dict[int, int] = {}
+            total = 0
+            for k in at[np.lexsort((ids[at], -bound))].tolist():
+                n = given[comps[k]] = given.get(comps[k], 0) + 1
+                if n <= limit + 1:
+                    total += 1
+                    over = n > limit or total > 4 * limit
+                    out.add((min(int(ids[q]), int(ids[k])), max(int(ids[q]), int(ids[k])), int(over)))
+                    if total > 4 * limit:
+                        break
+    return sorted(out)
+
+
+def _grouped(rows: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
+    """Rows dealt and sorted by keys; function gets each group's columns. Many small groups cost little this way."""
+    names = rows.columns
+    target = pa.schema([(f.split()[0], pa.int64()) for f in schema.split(", ")])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            held = yield from give(table, False)
+        if held is not None:
+            yield from give(held, True)
+
+    def give(table: pa.Table, final: bool):
+        at = [table.column(k).to_numpy() for k in keys]
+        if not table.num_rows:
+            return table
+        new = np.flatnonzero(np.any([a[1:] != a[:-1] for a in at], axis=0)) + 1
+        cuts = [0, *new.tolist(), table.num_rows]
+        out: list[tuple] = []
+        for a, b in zip(cuts[: None if final else -1], cuts[1 : None if final else -1], strict=False):
+            out += function({n: table.column(n).slice(a, b - a) for n in names})
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=target)
+        return table.slice(cuts[-2]).combine_chunks()
+
+    ship_package(rows.sparkSession)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _search_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one tile that are not in one component and may link. side: 0 both, 1 queries, 2 points."""
-    points, queries = pdf[pdf["side"] != 1], pdf[pdf["side"] != 2]
-    vectors, sizes = _vectors(points["vec"]), points["n"].to_numpy()
-    tree = Searcher(vectors, sizes)
-    ids, comps = points["id"].to_numpy(), points["comp"].to_numpy()
-    out = []
-    for i, n, c, v in zip(queries["id"], queries["n"], queries["comp"], queries["vec"], strict=True):
-        at = tree.search(np.frombuffer(v, np.int32), n)
-        at = at[comps[at] != c]
-        out += [(min(i, j), max(i, j)) for j in ids[at].tolist()]
-    pairs = pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    return pairs.drop_duplicates()
+def _search(rows: DataFrame, limit: int) -> DataFrame:
+    def tile(c: dict) -> list[tuple[int, int, int]]:
+        number = {k: c[k].to_numpy() for k in ("id", "n", "comp", "side")}
+        return _search_group(number["id"], number["n"], number["comp"], number["side"], c["vec"].to_pylist(), limit)
+
+    return _grouped(rows, ["key", "i", "j"], tile, "a bigint, b bigint, more bigint").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id, comp (the least id reachable) of each id in edges (a, b): alternating large and small stars."""
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(df: DataFrame) -> bool:
+        """Whether each id has one edge and none has edges to and from it: stars."""
+        ends = df.select(F.col("a").alias("id"), F.lit(1).alias("n")).unionByName(df.select(F.col("b").alias("id"), F.lit(0).alias("n")).distinct())
+        return ends.groupBy("id").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1 OR (n > 0 AND rows > n)").isEmpty()
 
-    before = mark(edges)
-    while before[0]:
+    while not settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -249,108 +424,143 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select("b", "m").toDF("a", "b").unionByName(least.toDF("a", "b"))
         edges = stage(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     leaves = edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "id")
     return stage(leaves.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()).groupBy("id").agg(F.min("comp").alias("comp")), "components")
 
 
-def _verified(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: first by the count vectors, then on the sets."""
-    vec = near.select("id", "n", "vec")
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. Each set is sent once for each pair, to the set of the pair's other end.
 
-    def bound(batch: pa.RecordBatch) -> dict:
-        c = {k: batch.column(k) for k in batch.schema.names}
-        na, nb = c["na"].to_numpy(zero_copy_only=False), c["nb"].to_numpy(zero_copy_only=False)
-        if not len(na):
-            return {"a": c["a"], "b": c["b"]}
-        at = np.flatnonzero(np.minimum(_vectors(c["va"].to_pylist()), _vectors(c["vb"].to_pylist())).sum(axis=1) >= needed(na, nb))
-        take = pa.array(at)
-        return {"a": c["a"].take(take), "b": c["b"].take(take)}
+    a is the centre of its pairs; centres with many go to several tasks, each with the centre's set.
+    """
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
+    degree = stage(degree, "degree")
+    dealt = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"))
+    wants = dealt.select("id", F.struct(F.col("a"), "part", F.lit(1).alias("side")).alias("to"))
+    own = degree.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    wants = wants.unionByName(own.select("id", F.struct("a", "part", F.lit(0).alias("side")).alias("to")))
+    targets = bounded(wants.groupBy("id").agg(F.collect_list("to").alias("to")), "targets", 200_000)
 
-    left, right = vec.toDF("a", "na", "va"), vec.toDF("b", "nb", "vb")
-    sized = pairs.join(left, "a").join(right, "b").where("100 * na >= 80 * nb and 100 * nb >= 80 * na")
-    maybe = stage(map_arrow(sized, bound, "a bigint, b bigint"), "maybe")
-    sets = near.select("id", "s")
-    met = maybe.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    common, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    return met.where(100 * common >= 80 * (both - common)).select("a", "b")
+    def sets(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column(0), "to": batch.column(1), "s": [shingles(v.as_py()).tobytes() for v in batch.column(2)]}
+
+    kind = "array<struct<a:bigint,part:int,side:int>>"
+    found = docs.join(targets, "id").select("id", "to", "text")
+    sent = map_arrow(found, sets, f"id bigint, to {kind}, s binary").select("id", "s", F.inline("to"))
+    rows = sent.repartition("a", "part").sortWithinPartitions("a", "part", "side", "id")
+
+    def run(batches):
+        centre, own = None, None
+        for batch in batches:
+            a, b = [], []
+            key = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            for k, side, i, data in zip(key, batch.column("side").to_pylist(), batch.column("id").to_pylist(), batch.column("s"), strict=True):
+                s = np.frombuffer(data.as_py(), np.uint64)
+                if side == 0:
+                    centre, own = k, s
+                    continue
+                if centre != k:
+                    raise ValueError(f"the set of {k[0]} is missing")
+                if 100 * min(len(s), len(own)) < 80 * max(len(s), len(own)):
+                    continue
+                at = np.searchsorted(own, s)
+                common = int(np.count_nonzero(own[np.minimum(at, len(own) - 1)] == s))
+                if 100 * common >= 80 * (len(s) + len(own) - common):
+                    a.append(k[0])
+                    b.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.select("a", "part", "side", "id", "s").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, tile: int = TILE) -> DataFrame:
     """One row per input row: its id, n_shingles and component_id."""
     docs = _id_bytes(df, id_col, text_col)
     base = stage(_base(docs), "base")
+    level, hot = _levels(base)
+    base = base.where("slice is null").select("id", "n", "digest")
     sets = stage(base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "sets")
-    extra = base.where("n > 0").join(sets.where("copies > 1"), "digest").where("id <> rep").select("id").distinct()
+    several = bounded(sets.where("copies > 1").select("digest", "rep"), "several")
+    extra = base.where("n > 0").join(several, "digest").where("id <> rep").select("id").distinct()
     # A document that repeats another's set has no part in the search; so does one that is too short to have partners.
     alone = base.groupBy("id").agg(F.max("n").alias("n")).where("n < 4").select("id")
     out = bounded(extra.unionByName(alone).distinct(), "out")
     docs = docs.where("id is not null").join(out, "id", "left_anti").select("id", "text")
-    hot, weight = _hot_shingles(docs, sets.count())
-    blocks = stage(_blocks(docs, hot, weight), "blocks")
-
-    wanted = bounded(blocks.select("id").distinct(), "wanted")
-
-    def details(batch: pa.RecordBatch) -> dict:
-        found = [shingles(v.as_py()) for v in batch.column(1)]
-        return {"id": batch.column(0), "n": [len(s) for s in found], "vec": [count_vector(s).tobytes() for s in found], "s": _lists(found, pa.int64())}
+    blocks = stage(_blocks(docs, level, hot), "blocks")
+    release_shuffles(df.sparkSession)
 
-    near = stage(map_arrow(docs.join(wanted, "id", "left_semi").select("id", "text"), details, "id bigint, n bigint, vec binary, s array<bigint>"), "near")
-    if base.select("id").distinct().count() < base.count():  # repeated rows
-        near = stage(near.dropDuplicates(["id"]), "unique")
-
-    links: DataFrame | None = None
     comps: DataFrame | None = None
     tried: DataFrame | None = None
-    spark = df.sparkSession
-    for turn in range(rounds + 1):
+    again: DataFrame | None = None
+    turn = 0
+    while True:
         here = blocks if comps is None else blocks.join(comps, "id", "left")
         here = here.select("key", "id", "n", (F.col("id") if comps is None else F.coalesce("comp", "id")).alias("comp"))
         if comps is not None:
             open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            here = stage(here.join(open_keys, "key"), "open")
+            here = stage(here.join(bounded(open_keys, "keys"), "key"), "open")
+            if again is not None:
+                here = stage(here.join(bounded(here.join(again, "id").select("key").distinct(), "again"), "key"), "once_more")
             if here.isEmpty():
                 break
         if turn < rounds:
-            rank = F.struct(F.lit(0).alias("r") if turn == 0 else F.xxhash64("id", F.lit(turn)).alias("r"), "id", "n", "comp")
-            centre = here.groupBy("key").agg(F.min(rank).alias("c"))
-            pairs = here.join(centre, "key").where("id <> c.id and comp <> c.comp and 100 * n >= 80 * c.n and 100 * c.n >= 80 * n")
-            pairs = pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+            pairs = stage(_stars(here, turn), "pairs")
         else:
-            # Blocks with the same members are searched once.
-            same = here.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
-            one = stage(same.groupBy("size", "sum").agg(F.min("key").alias("key")).select("key", "size"), "one")
-            rows = here.join(one, "key").join(near.select("id", "vec"), "id")
-            shards = F.ceil(F.col("size") / F.lit(tile)).cast("int")
-            rows = rows.withColumn("shards", shards).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-            rows = rows.select(
-                "key", "id", "n", "comp", "vec",
-                F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-            )
-            pairs = rows.groupBy("key", "i", "j").applyInPandas(_search_tile, "a bigint, b bigint").distinct()
-        pairs = stage(pairs, "pairs")
-        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        found = stage(_verified(fresh, near), "links")
-        tried = pairs if tried is None else stage(tried.unionByName(pairs).distinct(), "tried")
+            # The greatest bounds first. Where a query had more than the limit its blocks are searched again, with a
+            # higher limit, unless links have closed them.
+            pairs = stage(_search(_tiles(here, docs, tile), 2 << 3 * (turn - rounds)), "pairs")
+            left = pairs.where("more > 0")
+            again = bounded(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct(), "left")
+            pairs = pairs.select("a", "b")
+        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti").join(tried.toDF("b", "a"), ["a", "b"], "left_anti")
+        found = _verified(fresh, docs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         # What is known is carried on as one star for each component.
         if comps is not None:
             found = found.unionByName(comps.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
-        links = found
-        comps = components(links)
-    if comps is None:
-        comps = spark.createDataFrame([], "id bigint, comp bigint")
+        comps = components(found)
+        release_shuffles(df.sparkSession)
+        turn += 1
+        if again is not None and again.isEmpty():
+            break
     named = sets.join(comps, sets["rep"] == comps["id"], "left").select("digest", F.coalesce("comp", "rep").alias("component"), "copies", "rep")
-    named = named.where("copies > 1 or component <> rep").select("digest", "component")
+    named = bounded(named.where("copies > 1 or component <> rep").select("digest", "component"), "named")
     result = base.join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _stars(here: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) for each member b of open blocks: with the centre a that it shares most of its blocks with.
+
+    A block's centre is its least id in the first round, and one by chance later.
+    """
+    rank = F.struct(F.lit(0).cast("bigint").alias("r") if turn == 0 else F.xxhash64("id", F.lit(turn)).alias("r"), "id", "n", "comp")
+    centre = here.groupBy("key").agg(F.min(rank).alias("c"))
+    pairs = here.join(centre, "key").where("id <> c.id and comp <> c.comp and 100 * n >= 80 * c.n and 100 * c.n >= 80 * n")
+    shared = pairs.groupBy("id", F.col("c.id").alias("a")).agg(F.count("*").alias("blocks"))
+    best = shared.groupBy("id").agg(F.max(F.struct("blocks", (-F.col("a")).alias("minus"))).alias("m"))
+    return best.select((-F.col("m.minus")).alias("a"), F.col("id").alias("b"))
+
+
+def _tiles(here: DataFrame, docs: DataFrame, tile: int) -> DataFrame:
+    """Members of open blocks with their points, dealt in tiles; blocks with the same members are taken once."""
+    same = here.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
+    one = bounded(same.groupBy("size", "sum").agg(F.min("key").alias("key")).select("key", "size"), "one")
+    members = stage(here.join(one, "key"), "members")
+    wanted = bounded(members.select("id").distinct(), "wanted")
+
+    def vectors(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column(0), "vec": [count_vector(shingles(v.as_py())) for v in batch.column(1)]}
+
+    points = map_arrow(docs.join(wanted, "id", "left_semi").select("id", "text"), vectors, "id bigint, vec binary")
+    shards = F.ceil(F.col("size") / F.lit(tile)).cast("int")
+    rows = members.join(points, "id").withColumn("shards", shards).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "n", "comp", side.alias("side"), "vec")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without those that a smaller id of their component stands for."""
     classes = jaccard_components(df, id_col, text_col)
