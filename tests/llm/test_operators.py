@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -98,6 +99,29 @@ def test_licences(spark):
     assert licences.matches(docs(spark, [])).count() == 0
 
 
+def test_licences_in_their_usual_layout(spark):
+    """Licences with blank lines between paragraphs: alone, in other text, as a comment, without a blank line around."""
+    heads = {"mit": ["The above copyright notice and", 'THE SOFTWARE IS PROVIDED "AS IS"'], "isc": ['THE SOFTWARE IS PROVIDED "AS IS"'], "apache-2.0-header": ["http://www", "Unless required", "See the License"], "gpl-3.0-header": ["This program is distributed", "You should have"], "bsd-2-clause": ["1. Redis", "2. Redis", "THIS SOFTWARE IS PROVIDED"], "unlicense": ["Anyone is", "In jurisdictions", 'THE SOFTWARE IS PROVIDED "AS IS"', "For more"]}
+    cases, expected = [], set()
+    for k, (name, starts) in enumerate(heads.items()):
+        laid = licences.TEMPLATES[name]
+        for start in starts:
+            assert laid.count(f" {start}") == 1
+            laid = laid.replace(f" {start}", f"\n\n{start}")
+        laid = "\n".join("\n".join(textwrap.wrap(line, 72)) for line in laid.split("\n"))
+        comment = "\n".join(f" * {line}".rstrip() for line in laid.split("\n"))
+        head = f"{text(40)}\n{text(30)}\n\n"
+        cases += [(10 * k, laid), (10 * k + 1, f"{head}{laid}\n\n{text(90)}"), (10 * k + 2, f"/*\n{comment}\n */\n{text(400)}"), (10 * k + 3, f"{laid}\n\n{text(200)}\n\n{laid}")]
+        again = len(laid.split("\n")) + 3
+        expected |= {(10 * k, name, 0, 1000), (10 * k + 1, name, 3, 1000), (10 * k + 2, name, 1, 1000), (10 * k + 3, name, 0, 1000), (10 * k + 3, name, again, 1000)}
+    cases += [(90, "Released under\n\nthe MIT License."), (91, "Released under the\n\n" + text(50) + "\n\nMIT License."), (92, f"{text(60)}\n\nReleased under the MIT License.\n\n{text(60)}")]
+    expected.add((90, "mit-notice", 0, 1000))
+    found = licences.matches(docs(spark, cases)).collect()
+    # The second paragraph of isc is enough alone, so its block is the row.
+    assert {(r.doc_id, r.template, r.unit, r.dice) for r in found if r.unit_kind == "span"} == {x for x in expected if x[1] != "isc"}
+    assert {(r.doc_id, r.template) for r in found if r.template in heads} >= {x[:2] for x in expected if x[1] in heads}
+
+
 @pytest.mark.parametrize("limit", [packing.Capacity(tokens=64), packing.Capacity(tokens=64, documents=3, attention=1500), packing.Capacity(tokens=64, documents=5, rule="dot")])
 def test_packing(spark, limit):
     path = public_tokenizers.path("word_bpe_49k.json")
