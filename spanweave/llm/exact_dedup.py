@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -118,12 +119,26 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with all their columns. Of fully repeated rows (same id and text) one stays."""
-    groups = stage(exact_groups(df, id_col, text_col), "groups")
-    drop = bounded(groups.where(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct(), "dropped")
-    stay = df.join(drop, df[id_col].eqNullSafe(drop["__id"]), "left_anti")
-    twice = groups.where("kept and group_size > 1").groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__id"))
-    twice = stage(twice, "twice")
+    groups = stage(exact_groups(df, id_col, text_col), "groups").where("group_size > 1")
+    keys = [F.col(id_col).alias("__id"), F.col("text_sha256").alias("__text")]
+    drop = bounded(groups.where(~F.col("kept")).select(*keys).distinct(), "dropped", 200_000)
+    twice = groups.where("kept").groupBy(id_col, "text_sha256").count().where("count > 1").select(*keys)
+    twice = bounded(twice, "twice", 200_000)
+    ids = bounded(drop.select("__id").unionByName(twice.select("__id")).distinct(), "ids")
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: hashlib.sha256(normalise(x or b"")).hexdigest())
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        same = left[id_col].eqNullSafe(right["__id"])
+        return left.join(right, same & (left["__sha"] == right["__text"]) if "__text" in right.columns else same, how)
+
+    # An id may stand for several texts: only rows with an id that has copies are hashed again, and decided by both.
+    asked = joined(df, ids, "left_semi").withColumn("__sha", digest(F.col(text_col).cast("binary")))
+    asked = joined(asked, drop, "left_anti")
+    stay = joined(df, ids, "left_anti")
     if twice.isEmpty():
-        return stay
-    again = stay.join(twice, stay[id_col].eqNullSafe(twice["__id"]), "left_semi").dropDuplicates([id_col])
-    return stay.join(twice, stay[id_col].eqNullSafe(twice["__id"]), "left_anti").unionByName(again)
+        return stay.unionByName(asked.drop("__sha"))
+    again = joined(asked, twice, "left_semi").dropDuplicates([id_col, "__sha"])
+    return stay.unionByName(joined(asked, twice, "left_anti").drop("__sha")).unionByName(again.drop("__sha"))

@@ -177,6 +177,19 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("cases", "stays"),
+    [
+        ([(1, "A"), (None, "A"), (None, "B")], [(1, "A"), (None, "B")]),
+        ([(None, "A"), (None, "A"), (None, "B")], [(None, "A"), (None, "B")]),
+        ([(3, "A"), (7, "A"), (7, "B")], [(3, "A"), (7, "B")]),
+        ([(3, "A"), (3, "A"), (3, "B"), (7, "A"), (7, None), (8, "C")], [(3, "A"), (3, "B"), (7, None), (8, "C")]),
+    ],
+)
+def test_an_id_with_several_texts_loses_none(spark, cases, stays):
+    assert rows(exact_dedup.deduplicate(docs(spark, cases)), "doc_id", "text") == sorted(stays, key=repr)
+
+
 def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     class Same:
         def digest(self):
