@@ -117,7 +117,7 @@ def tld_filter_domains(spark, d):
     """Hosts of pages whose last label is a known suffix: a semi-join with a bounded dimension."""
     pages = derived.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("host"))
     pages = pages.withColumn("suffix", F.lower(F.element_at(F.split("host", "[.]"), -1)))
-    known = spark.createDataFrame([(t,) for t in TLDS], "suffix string")
+    known = spark.createDataFrame([(t,) for t in sorted(detection.Policy().suffixes)], "suffix string")
     return pages.join(F.broadcast(known), "suffix", "left_semi").select("page_id", "host", "suffix")
 
 

@@ -47,7 +47,7 @@ def ship_package(spark: SparkSession) -> None:
     if root.parent.is_dir():  # else the package runs from an archive that was sent already
         path = Path(tempfile.mkdtemp(prefix="spanweave-")) / "spanweave.zip"
         with zipfile.ZipFile(path, "w") as archive:
-            for file in sorted(root.rglob("*.py")):
+            for file in sorted(x for kind in ("*.py", "*.txt") for x in root.rglob(kind)):
                 archive.write(file, file.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(path))
     _SENT.add(app)

