@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes
 from ..operators import alignment, intervals
 from ..sources import derived, sinks, subtitles
+from .intervals import _with
 from .oracle_views import FRAMES
 
 
@@ -61,9 +62,11 @@ def srt_window(spark, d):
 
 
 def published_timeline(spark, d):
-    rows = derived.events(spark, d).where("role = 'local_redaction' AND category = 'error'")
-    out = intervals.merge_at_cuts(rows, derived.cuts(spark, d), "source_id").where("source_id = 3")
-    return sinks.timeline_lines(sinks.timeline(out, 30)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    """The timeline of each source's local events, a line for each interval."""
+    rows = derived.events(spark, d).where("role = 'local_redaction'")
+    out = intervals.merge_at_cuts(rows, derived.cuts(spark, d), "source_id")
+    key = ("source_id",)
+    return sinks.timeline_lines(sinks.timeline(out, 30, keys=key), key).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 QUERIES = {f.__name__: f for f in (anchor_chains, nearest_anchor_proposals, distinct_frame_boxes, linked_events, code_findings, srt_segments, srt_window, published_timeline)}
@@ -71,6 +74,12 @@ QUERIES = {f.__name__: f for f in (anchor_chains, nearest_anchor_proposals, dist
 _CHAIN = f"""{FRAMES}, c AS (SELECT source_id, frame, event_id % 8 = 0 AS hit, sum(CASE WHEN event_id % 5 = 0 OR event_id % 17 = 0 OR frame = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY frame) AS chain FROM frames)"""
 _SAID = """s AS (SELECT CAST(conv_id AS VARCHAR) AS source_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, CAST(turn * 61500 AS BIGINT) AS start_ms, CAST(turn * 61500 + 1250 AS BIGINT) AS end_ms, 'said by ' || coalesce(role, '-') AS text, true AS valid FROM conversations)"""
 
+
+def _stamp(frame: str) -> str:
+    ms = f"CAST(round({frame} * 1000 / 30) AS BIGINT)"
+    return f"printf('%02d:%02d.%03d', {ms} // 60000, {ms} // 1000 % 60, {ms} % 1000)"
+
+
 ORACLES = {
     "anchor_chains": f"WITH {_CHAIN} SELECT a.source_id, a.frame, b.frame AS anchor FROM c a JOIN c b ON a.source_id = b.source_id AND a.chain = b.chain AND b.hit QUALIFY row_number() OVER (PARTITION BY a.source_id, a.frame ORDER BY abs(a.frame - b.frame), b.frame) = 1",
     "nearest_anchor_proposals": f"WITH {FRAMES}, p AS (SELECT source_id, frame, unnest([frame - frame % 7, frame + 3, frame - 3]) AS anchor FROM frames) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY source_id, frame ORDER BY abs(frame - anchor), anchor) = 1",
@@ -79,4 +88,6 @@ ORACLES = {
 SELECT source_id, frame, 'qr_code' AS kind, 'needs_review' AS status, 'qr_payload_not_retained' AS reason, CAST(x1 AS BIGINT) AS x, CAST(y1 AS BIGINT) AS y, CAST(x2 - x1 AS BIGINT) AS w, CAST(y2 - y1 AS BIGINT) AS h, confidence FROM b WHERE x2 > x1 AND y2 > y1""",
     "srt_segments": f"WITH {_SAID} SELECT * FROM s",
     "srt_window": f"WITH {_SAID} SELECT * REPLACE (greatest(start_ms + 500, 61000) AS start_ms, least(end_ms + 500, 130000) AS end_ms) FROM s WHERE end_ms + 500 > 61000 AND start_ms + 500 < 130000",
+    "published_timeline": f"""WITH iv AS ({_with("role = 'local_redaction'")})
+SELECT source_id, ordinal, printf('| %d | %s–%s | %s–%s |', ordinal, {_stamp("start_frame")}, {_stamp("end_frame")}, {_stamp("source_start")}, {_stamp("source_end")}) AS line FROM iv""",
 }

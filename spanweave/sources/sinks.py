@@ -34,19 +34,19 @@ def report(spark: SparkSession, path: str, facts: dict[str, str]) -> Iterator[di
         row.select(F.to_json("facts").alias("value")).coalesce(1).write.mode("errorifexists").text(f"{path}/report")
 
 
-def timeline(intervals: DataFrame, fps_num: int, fps_den: int = 1) -> DataFrame:
-    """Intervals (ordinal, start, end, source_start, source_end) with seconds, as published."""
+def timeline(intervals: DataFrame, fps_num: int, fps_den: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Intervals (ordinal, start, end, source_start, source_end) with seconds, as published; keys tell timelines apart."""
     rate = fps_num / fps_den
     named = {"start": "start_frame", "end": "end_frame", "source_start": "source_start_frame", "source_end": "source_end_frame"}
     rows = intervals.withColumnsRenamed(named)
     rows = rows.withColumns({c.replace("_frame", "_seconds"): F.col(c) / F.lit(rate) for c in named.values()})
-    return rows.select(*TIMELINE)
+    return rows.select(*keys, *TIMELINE)
 
 
-def timeline_lines(rows: DataFrame) -> DataFrame:
-    """Lines of a Markdown table of a timeline, numbered."""
+def timeline_lines(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of a Markdown table of a timeline, numbered; keys tell timelines apart."""
     shown = [clock.minutes(clock.milliseconds(F.col(f"{p}{e}_seconds"))) for p in ("", "source_") for e in ("start", "end")]
-    return rows.select("ordinal", F.format_string("| %d | %s–%s | %s–%s |", "ordinal", *shown).alias("line"))
+    return rows.select(*keys, "ordinal", F.format_string("| %d | %s–%s | %s–%s |", "ordinal", *shown).alias("line"))
 
 
 def write_timeline(intervals: DataFrame, path: str, fps_num: int, fps_den: int = 1) -> None:

@@ -22,6 +22,12 @@ def test_stable_boxes_cover_their_regions(spark, sf_dir):
     assert out.groupBy("source_id", "segment", "track", "frame").count().where("count > 1").count() == 0
 
 
+def test_published_timeline_has_every_source(spark, duck, sf_dir):
+    got = {r.source_id for r in catalog.QUERIES["published_timeline"](spark, sf_dir).select("source_id").distinct().collect()}
+    local = duck.execute("SELECT DISTINCT user_id FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0").fetchall()
+    assert got == {r[0] for r in local} and len(got) > 1
+
+
 def test_entry(spark):
     import __spark_entry__
 
