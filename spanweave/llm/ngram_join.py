@@ -3,20 +3,25 @@
 Links hold where 100 * |A & B| >= 80 * |A | B|, exactly. The way there:
 
 1. Equal sets are one node (their digest says so); only one document of each goes on.
-2. Routing, with no loss: in one order of all shingles, two sets that link share one of the first
-   n - ceil(0.8 n) + 1 of each. The order is by how often all documents fill the hash bucket of a shingle (a table of
-   fixed size), rare before frequent, so a passage that many documents share does not bring them together. Keys of one
-   document alone go; hot keys are salted while that is decided.
-3. In each block of documents with a common key, rounds of stars: all members against one centre, verified on the sets.
-   Blocks that links connect are done: more links in them would change no component.
-4. In the others every member becomes a point: its shingle counts by hash group, as many groups as its size asks for.
-   Each searches an R-tree over the members' points, whose nodes bound the overlap by the summed minima with their
-   coordinate maxima; survivors in other components are verified. Large blocks are searched tile by tile.
-5. Components are spread by alternating star contractions in the shared folder, never on the driver.
+2. Blocks, with no loss: in one order of all shingles, two sets that link share one of the first n - ceil(0.8 n) + 1 of
+   each. The order is by how often all documents fill the hash bucket of a shingle (a table of fixed size), rare before
+   frequent, so a passage that many documents share does not bring them together. Keys of one document alone go; hot
+   keys are salted while that is decided.
+3. In each block every member is a point: its shingle counts by hash group, as many groups as its size asks for. An
+   R-tree over these points, whose nodes bound the overlap by the summed minima with their coordinate maxima, gives
+   each member the others that it may link with. Every pair that is verified comes from such a search.
+4. Of what a search leaves, a block gives no more pairs than join its components (a forest, the greatest bounds first);
+   they are verified on whole sets. Blocks that links connect are done: more links in them would change no component.
+   The others are searched again for further forests until no pair is left. The first turn searches only by the first
+   keys of each set, which most linking pairs share; the second searches all blocks that are still open.
+5. Blocks larger than a tile are dealt by a hash, in two turns, each tile with the block's least member as well, so a
+   large group of copies costs as much as it has members; only what is then open is compared tile by tile.
+6. Components are spread by alternating star contractions in the shared folder, never on the driver.
 
 Defined cases: null and empty text, and white space alone, have no shingles and link with nothing; fewer than five
-words are one shingle; rows that share an id are one node; null ids join nothing; an empty table gives no rows; further
-columns are ignored.
+words are one shingle. Every row is a node of its own: where ids repeat or are null, rows are numbered first (and staged
+with their texts), and a component is named by its least id, by null if it has none. An empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +45,13 @@ BUCKET_BITS, SLICES = 22, 64
 HOT_TIMES, HOT_LEAST, SALTS = 16, 256, 64
 #: Pairs with one centre that one task verifies, about.
 STAR = 1024
-ROUNDS = 2
+#: Keys of a set that the first turn searches by.
+FIRST = 2
 #: The coordinates of a set's finest vector are 2 ** FINE_BITS times those that its neighbour class searches by.
 FINE_BITS = 1
-TILE = 4096
-#: Blocks of at most so many members are compared without a tree.
-SMALL = 16
-#: Bytes of text that are hashed at once.
-BLOCK = 1 << 20
+TILE = 1024
+#: Bytes of text that are hashed at once; longer words are hashed as a whole.
+BLOCK = 1 << 18
 _PLAIN = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -98,7 +102,11 @@ def shingles(data: bytes | None) -> np.ndarray:
         while at < len(data):
             end = data.find(b" ", at + BLOCK)
             end = len(data) if end < 0 else end
-            parts.append(word_hashes(data[at:end]))
+            last = data.rfind(b" ", at, at + BLOCK) + 1 or at
+            if end - last > BLOCK:
+                parts += [word_hashes(data[at:last]), np.frombuffer(hashlib.blake2b(data[last:end], digest_size=8).digest(), np.uint64)]
+            else:
+                parts.append(word_hashes(data[at:end]))
             at = end
         h = np.concatenate(parts)
     if not len(h):
@@ -149,11 +157,12 @@ def coarse(counts: np.ndarray, cls: int) -> np.ndarray:
     return counts.reshape(groups(cls), -1).sum(axis=1, dtype=np.int32)
 
 
-def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """The summed minima of two unpacked vectors, on the coordinates of the coarser."""
-    n = min(len(a), len(b))
-    a, b = (x if len(x) == n else x.reshape(n, -1).sum(axis=1) for x in (a, b))
-    return int(np.minimum(a, b).sum(dtype=np.int64))
+def fine_bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The summed minima of an unpacked vector with each row of a matrix of others, on the coordinates of the coarser."""
+    n = min(len(a), b.shape[1])
+    a = a if len(a) == n else a.reshape(n, -1).sum(axis=1)
+    b = b if b.shape[1] == n else b.reshape(len(b), n, -1).sum(axis=2)
+    return np.minimum(a, b).sum(axis=1, dtype=np.int64)
 
 
 def needed(a, b):
@@ -250,7 +259,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _blocks(docs: DataFrame, level: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """key, id, n for keys of at least two documents (a hot key counts as such)."""
+    """key, id, n, first (whether the key is among a set's FIRST) for keys of two documents (a hot key counts as such)."""
     shared = docs.sparkSession.sparkContext.broadcast((level, hot))
 
     def keys(batch: pa.RecordBatch) -> dict:
@@ -264,15 +273,19 @@ def _blocks(docs: DataFrame, level: np.ndarray, hot: np.ndarray) -> DataFrame:
         flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(ends)) if len(parts) else np.empty(0, np.int64)
         salt = np.where(hot[flat >> np.uint64(64 - BUCKET_BITS)], 1 + owner % SALTS, 0).astype(np.int32)
-        return {"id": batch.column(0), "n": sizes, "keys": _lists(parts), "salts": pa.ListArray.from_arrays(pa.array(ends), pa.array(salt))}
+        # The sign of a salt says whether the key is among the first.
+        head = np.arange(len(flat)) - np.repeat(ends[:-1], np.diff(ends)) < FIRST
+        salt = np.where(head, salt, -1 - salt)
+        return {"id": batch.column(0), "n": sizes, "keys": _lists(parts), "salts": pa.ListArray.from_arrays(pa.array(ends), pa.array(salt.astype(np.int32)))}
 
     rows = map_arrow(docs, keys, "id bigint, n bigint, keys array<bigint>, salts array<int>")
     rows = rows.select("id", "n", F.inline(F.arrays_zip("keys", "salts"))).withColumnsRenamed({"keys": "key", "salts": "salt"})
+    rows = rows.select("id", "n", "key", F.when(F.col("salt") < 0, -1 - F.col("salt")).otherwise(F.col("salt")).alias("salt"), (F.col("salt") >= 0).alias("first"))
     dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
 
     def several(batches):
         """Rows whose key the row before or after has too, or is hot; a run may go on in the next batch."""
-        names = ["id", "n", "key", "salt"]
+        names = ["id", "n", "key", "salt", "first"]
         held: dict | None = None  # the last row, if it is not yet known to have company
         last = None  # key of the last row, if that row was given out
         for batch in batches:
@@ -292,9 +305,9 @@ def _blocks(docs: DataFrame, level: np.ndarray, hot: np.ndarray) -> DataFrame:
                 held, last = None, key[-1]
             else:
                 held, last = {k: v[-1:] for k, v in c.items()}, None
-            yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in ("key", "id", "n")], names=["key", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) for k in ("key", "id", "n", "first")], names=["key", "id", "n", "first"])
 
-    return dealt.mapInArrow(several, "key bigint, id bigint, n bigint")
+    return dealt.mapInArrow(several, "key bigint, id bigint, n bigint, first boolean")
 
 
 class Searcher:
@@ -311,12 +324,14 @@ class Searcher:
             cut = np.arange(0, len(top), self.FAN)
             self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
 
-    def search(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Positions of the points whose overlap with this one may reach what a link needs."""
+    def search(self, point: np.ndarray, size: int, wanted: np.ndarray) -> np.ndarray:
+        """Positions of the wanted points whose overlap with this one may reach what a link needs."""
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[depth]
             fits = (100 * high[at] >= 80 * size) & (80 * low[at] <= 100 * size)
+            if not depth:
+                fits &= wanted[self.order[at]]
             at = at[fits]
             bound = np.minimum(top[at], point).sum(axis=1)
             at = at[bound >= needed(size, np.maximum(low[at], (4 * size + 4) // 5))]
@@ -326,47 +341,54 @@ class Searcher:
         return self.order[at]
 
 
-def _search_group(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sides: np.ndarray, vectors: list, limit: int) -> list[tuple[int, int, int]]:
-    """Pairs of one tile in different components that may link, and whether a query has more.
+def _search_group(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sides: np.ndarray, vectors: list, forests: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of one tile in different components that may link, in so many forests, and whether there are others.
 
-    Of a query's pairs with one component the limit of those with the greatest bounds are given, and 4 times as many in
-    all; one pair more says that there are others. sides: 0 queries and points, 1 queries, 2 points.
+    Each member searches the trees, those with least ids first. Of what is left in every component but its own it takes
+    the point with the greatest bound, and what it took is then one component with it. A further forest starts from the
+    components as they were, without the pairs taken before. sides: 0 queries and points, 1 queries, 2 points.
     """
-    out: set[tuple[int, int, int]] = set()
-    if len(ids) <= SMALL:  # no tree: each pair's bound at once, and all pairs
-        counts = [unpack(v, int(n)) for v, n in zip(vectors, sizes, strict=True)]
-        number, size, comp, side = ids.tolist(), sizes.tolist(), comps.tolist(), sides.tolist()
-        for q in range(len(number)):
-            for k in range(q):
-                if comp[q] == comp[k] or side[q] == side[k] != 0 or 100 * min(size[q], size[k]) < 80 * max(size[q], size[k]):
-                    continue
-                if fine_bound(counts[q], counts[k]) >= needed(size[q], size[k]):
-                    out.add((min(number[q], number[k]), max(number[q], number[k]), 0))
-        return sorted(out)
     classes = size_class(sizes)
+    fine = [unpack(v, int(n)) for v, n in zip(vectors, sizes, strict=True)]
+    trees = []
     for cls in np.unique(classes[sides != 1]).tolist():
         points = np.flatnonzero((classes == cls) & (sides != 1))
-        tree = Searcher(np.stack([coarse(unpack(vectors[k], int(sizes[k])), cls) for k in points]), sizes[points])
-        for q in np.flatnonzero((np.abs(classes - cls) <= 1) & (sides != 2)).tolist():
-            own = unpack(vectors[q], int(sizes[q]))
-            at = points[tree.search(coarse(own, cls), int(sizes[q]))]
-            at = at[comps[at] != comps[q]]
-            if not len(at):
-                continue
-            bound = np.array([fine_bound(own, unpack(vectors[k], int(sizes[k]))) for k in at.tolist()])
-            fits = bound >= needed(int(sizes[q]), sizes[at])
-            at, bound = at[fits], bound[fits] / sizes[at][fits]
-            given: dict[int, int] = {}
-            total = 0
-            for k in at[np.lexsort((ids[at], -bound))].tolist():
-                n = given[comps[k]] = given.get(comps[k], 0) + 1
-                if n <= limit + 1:
-                    total += 1
-                    over = n > limit or total > 4 * limit
-                    out.add((min(int(ids[q]), int(ids[k])), max(int(ids[q]), int(ids[k])), int(over)))
-                    if total > 4 * limit:
-                        break
-    return sorted(out)
+        trees.append((cls, points, Searcher(np.stack([coarse(fine[k], cls) for k in points]), sizes[points])))
+    queries = np.flatnonzero(sides != 2)
+    queries = queries[np.argsort(ids[queries], kind="stable")].tolist()
+    taken: dict[int, list[int]] = {}
+    out: list[tuple[int, int]] = []
+    for forest in range(forests + 1):
+        label = np.unique(comps, return_inverse=True)[1]
+        before = len(out)
+        for q in queries:
+            size = int(sizes[q])
+            for cls, points, tree in trees:
+                wanted = label[points] != label[q]
+                if abs(int(classes[q]) - cls) > 1 or not wanted.any():
+                    continue
+                at = points[tree.search(coarse(fine[q], cls), size, wanted)]
+                if q in taken:
+                    at = at[~np.isin(at, taken[q])]
+                if not len(at):
+                    continue
+                bound = fine_bounds(fine[q], np.stack([fine[k] for k in at.tolist()]))
+                fits = bound >= needed(size, sizes[at])
+                at, bound = at[fits], bound[fits] / sizes[at][fits]
+                if not len(at):
+                    continue
+                if forest == forests:  # there are others
+                    return out, True
+                at = at[np.lexsort((ids[at], -bound))]
+                joined, best = np.unique(label[at], return_index=True)
+                for k in at[best].tolist():
+                    taken.setdefault(q, []).append(k)
+                    taken.setdefault(k, []).append(q)
+                    out.append((min(int(ids[q]), int(ids[k])), max(int(ids[q]), int(ids[k]))))
+                label[np.isin(label, joined)] = label[q]
+        if len(out) == before:
+            break
+    return out, False
 
 
 def _grouped(rows: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
@@ -399,12 +421,15 @@ def _grouped(rows: DataFrame, keys: list[str], function, schema: str) -> DataFra
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _search(rows: DataFrame, limit: int) -> DataFrame:
-    def tile(c: dict) -> list[tuple[int, int, int]]:
+def _search(rows: DataFrame, forests: int) -> DataFrame:
+    """a, b: pairs to verify; rows with a null b name a block (its key in a) that has others."""
+
+    def tile(c: dict) -> list[tuple[int, int | None]]:
         number = {k: c[k].to_numpy() for k in ("id", "n", "comp", "side")}
-        return _search_group(number["id"], number["n"], number["comp"], number["side"], c["vec"].to_pylist(), limit)
+        pairs, more = _search_group(number["id"], number["n"], number["comp"], number["side"], c["vec"].to_pylist(), forests)
+        return [*pairs, (c["key"][0].as_py(), None)] if more else pairs
 
-    return _grouped(rows, ["key", "i", "j"], tile, "a bigint, b bigint, more bigint").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return _grouped(rows, ["key", "i", "j"], tile, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -473,96 +498,114 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("a", "part", "side", "id", "s").mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, tile: int = TILE) -> DataFrame:
-    """One row per input row: its id, n_shingles and component_id."""
-    docs = _id_bytes(df, id_col, text_col)
+def _tiles(here: DataFrame, docs: DataFrame, tile: int, turn: int, cross: bool) -> DataFrame:
+    """Members of blocks with their points, dealt in tiles; blocks with the same members are taken once.
+
+    cross: every two tiles of a block meet; else each meets the block's least member alone.
+    """
+    same = here.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"), F.min("id").alias("least"), F.max("id").alias("most"))
+    one = same.where("size > 1").groupBy("size", "sum", "least", "most").agg(F.min("key").alias("key")).select("key", "size", "least")
+    members = here.join(bounded(one, "one"), "key")
+    shards = F.ceil(F.col("size") / F.lit(tile)).cast("int")
+    rows = members.withColumn("shards", shards).withColumn("mine", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("shards")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("shards") - 1)
+    if cross:
+        rows = rows.withColumn("other", F.explode(every))
+        side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    else:
+        rows = rows.withColumn("other", F.explode(F.when(F.col("id") == F.col("least"), every).otherwise(F.array("mine")))).withColumn("mine", F.col("other"))
+        side = F.lit(0)
+    to = F.struct("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "n", "comp", side.alias("side"))
+    targets = bounded(rows.groupBy("id").agg(F.collect_list(to).alias("to")), "wanted", 200_000)
+
+    def vectors(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column(0), "to": batch.column(1), "vec": [count_vector(shingles(v.as_py())) for v in batch.column(2)]}
+
+    kind = "array<struct<key:bigint,i:int,j:int,n:bigint,comp:bigint,side:int>>"
+    points = map_arrow(docs.join(targets, "id").select("id", "to", "text"), vectors, f"id bigint, to {kind}, vec binary")
+    return points.select("id", "vec", F.inline("to"))
+
+
+def _core(docs: DataFrame, tile: int) -> DataFrame:
+    """id, n, comp (the least id reachable) of each row; docs: id, text, with unique ids."""
     base = stage(_base(docs), "base")
     level, hot = _levels(base)
     base = base.where("slice is null").select("id", "n", "digest")
-    sets = stage(base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "sets")
+    sets = stage(base.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "sets")
     several = bounded(sets.where("copies > 1").select("digest", "rep"), "several")
-    extra = base.where("n > 0").join(several, "digest").where("id <> rep").select("id").distinct()
+    extra = base.where("n > 0").join(several, "digest").where("id <> rep").select("id")
     # A document that repeats another's set has no part in the search; so does one that is too short to have partners.
-    alone = base.groupBy("id").agg(F.max("n").alias("n")).where("n < 4").select("id")
-    out = bounded(extra.unionByName(alone).distinct(), "out")
-    docs = docs.where("id is not null").join(out, "id", "left_anti").select("id", "text")
+    out = bounded(extra.unionByName(base.where("n < 4").select("id")).distinct(), "out")
+    docs = docs.join(out, "id", "left_anti").select("id", "text")
     blocks = stage(_blocks(docs, level, hot), "blocks")
-    release_shuffles(df.sparkSession)
+    release_shuffles(docs.sparkSession)
 
+    here = blocks.where("first").select("key", "id", "n", F.col("id").alias("comp"))
     comps: DataFrame | None = None
     tried: DataFrame | None = None
-    again: DataFrame | None = None
     turn = 0
     while True:
-        here = blocks if comps is None else blocks.join(comps, "id", "left")
-        here = here.select("key", "id", "n", (F.col("id") if comps is None else F.coalesce("comp", "id")).alias("comp"))
-        if comps is not None:
-            open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            here = stage(here.join(bounded(open_keys, "keys"), "key"), "open")
-            if again is not None:
-                here = stage(here.join(bounded(here.join(again, "id").select("key").distinct(), "again"), "key"), "once_more")
-            if here.isEmpty():
-                break
-        if turn < rounds:
-            pairs = stage(_stars(here, turn), "pairs")
-        else:
-            # The greatest bounds first. Where a query had more than the limit its blocks are searched again, with a
-            # higher limit, unless links have closed them.
-            pairs = stage(_search(_tiles(here, docs, tile), 2 << 3 * (turn - rounds)), "pairs")
-            left = pairs.where("more > 0")
-            again = bounded(left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct(), "left")
-            pairs = pairs.select("a", "b")
-        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti").join(tried.toDF("b", "a"), ["a", "b"], "left_anti")
-        found = _verified(fresh, docs)
+        found = stage(_search(_tiles(here, docs, tile, turn, cross=turn > 1), 1 if turn < 2 else 4 ** (turn - 1)), "found")
+        pairs = found.where("b is not null")
+        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        links = _verified(fresh, docs)
         tried = pairs if tried is None else tried.unionByName(pairs)
         # What is known is carried on as one star for each component.
         if comps is not None:
-            found = found.unionByName(comps.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
-        comps = components(found)
-        release_shuffles(df.sparkSession)
+            links = links.unionByName(comps.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        comps = components(links)
+        release_shuffles(docs.sparkSession)
+        if turn == 0:
+            here = blocks
+        else:  # blocks with further pairs, and those whose tiles have not met
+            again = found.where("b is null").select(F.col("a").alias("key"))
+            if turn == 1:
+                again = again.unionByName(here.groupBy("key").count().where(F.col("count") > tile).select("key")).distinct()
+            here = here.join(bounded(again, "again"), "key")
+        here = here.drop("comp").join(bounded(comps, "comps"), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+        open_keys = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        here = stage(here.join(bounded(open_keys, "keys"), "key"), "open")
         turn += 1
-        if again is not None and again.isEmpty():
+        if here.isEmpty():
             break
     named = sets.join(comps, sets["rep"] == comps["id"], "left").select("digest", F.coalesce("comp", "rep").alias("component"), "copies", "rep")
     named = bounded(named.where("copies > 1 or component <> rep").select("digest", "component"), "named")
-    result = base.join(named, "digest", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # Without shingles a row is a component of its own.
+    named = base.join(named, "digest", "left")
+    return named.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("comp"))
 
 
-def _stars(here: DataFrame, turn: int) -> DataFrame:
-    """One pair (a, b) for each member b of open blocks: with the centre a that it shares most of its blocks with.
-
-    A block's centre is its least id in the first round, and one by chance later.
-    """
-    rank = F.struct(F.lit(0).cast("bigint").alias("r") if turn == 0 else F.xxhash64("id", F.lit(turn)).alias("r"), "id", "n", "comp")
-    centre = here.groupBy("key").agg(F.min(rank).alias("c"))
-    pairs = here.join(centre, "key").where("id <> c.id and comp <> c.comp and 100 * n >= 80 * c.n and 100 * c.n >= 80 * n")
-    shared = pairs.groupBy("id", F.col("c.id").alias("a")).agg(F.count("*").alias("blocks"))
-    best = shared.groupBy("id").agg(F.max(F.struct("blocks", (-F.col("a")).alias("minus"))).alias("m"))
-    return best.select((-F.col("m.minus")).alias("a"), F.col("id").alias("b"))
-
+def _numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """df with a column of unique numbers and its name: the ids, if they are unique, else a new one (staged)."""
+    ids = df.select(F.col(id_col).cast("bigint").alias("id")).groupBy("id").count()
+    if ids.where("id is null or count > 1").isEmpty():
+        return df, id_col
+    name = "row"
+    while name in df.columns:
+        name += "_"
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
-def _tiles(here: DataFrame, docs: DataFrame, tile: int) -> DataFrame:
-    """Members of open blocks with their points, dealt in tiles; blocks with the same members are taken once."""
-    same = here.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
-    one = bounded(same.groupBy("size", "sum").agg(F.min("key").alias("key")).select("key", "size"), "one")
-    members = stage(here.join(one, "key"), "members")
-    wanted = bounded(members.select("id").distinct(), "wanted")
 
-    def vectors(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column(0), "vec": [count_vector(shingles(v.as_py())) for v in batch.column(1)]}
-
-    points = map_arrow(docs.join(wanted, "id", "left_semi").select("id", "text"), vectors, "id bigint, vec binary")
-    shards = F.ceil(F.col("size") / F.lit(tile)).cast("int")
-    rows = members.join(points, "id").withColumn("shards", shards).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    return rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "n", "comp", side.alias("side"), "vec")
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df without those that a smaller id of their component stands for."""
-    classes = jaccard_components(df, id_col, text_col)
-    drop = bounded(classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
-    return df.join(drop, id_col, "left_anti").select(*df.columns)
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """One row per input row: its id, n_shingles and component_id."""
+    numbered, row = _numbered(df.select(id_col, text_col), id_col)
+    found = _core(_id_bytes(numbered, row, text_col), tile)
+    if row == id_col:
+        return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+    found = stage(found.join(numbered.select(F.col(row).alias("id"), F.col(id_col).alias("own")), "id"), "classes")
+    least = found.groupBy("comp").agg(F.min("own").alias("component_id"))
+    return found.join(least, "comp").select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """The rows of df without those that another of their component stands for: that with the least id (null: last)."""
+    numbered, row = _numbered(df, id_col)
+    found = _core(_id_bytes(numbered, row, text_col), tile)
+    if row == id_col:
+        drop = found.where("id <> comp").select(F.col("id").alias(row))
+    else:
+        found = stage(found.join(numbered.select(F.col(row).alias("id"), F.col(id_col).alias("own")), "id"), "classes")
+        order = F.struct(F.col("own").isNull().alias("none"), "own", "id")
+        best = found.groupBy("comp").agg(F.min(order).alias("best")).select("comp", F.col("best.id").alias("stays"))
+        drop = found.join(best, "comp").where("id <> stays").select(F.col("id").alias(row))
+    return numbered.join(bounded(drop, "dropped"), row, "left_anti").select(*df.columns)

@@ -239,8 +239,7 @@ def brute_components(cases):
     return sorted((i, len(sets[i]), find(i)) for i in ids)
 
 
-@pytest.mark.parametrize(("rounds", "tile"), [(2, 4096), (0, 4096), (0, 6)])
-def test_ngram_join(spark, rounds, tile):
+def near_cases():
     rng = random.Random(8)
     cases = [r for r in ODD if r[0] is not None]
     passage = text(40, rng)
@@ -248,17 +247,63 @@ def test_ngram_join(spark, rounds, tile):
         base = text(rng.choice([4, 6, 12, 60, 200]), rng)
         cases += [(1000 * (k + 1) + j, near_copy(base, rng, rng.choice([0, 0.01, 0.03, 0.06]))) for j in range(rng.randint(1, 6))]
         cases.append((1000 * (k + 1) + 99, f"{text(60, rng)} {passage} {text(30, rng)}"))
-    cases += [(20000 + j, passage.upper()) for j in range(5)] + [(20010, "A b C d e"), (20011, "a B c d E"), (20012, "a b c d e f"), (20013, "a b c d")]
-    out = ngram_join.jaccard_components(docs(spark, cases), rounds=rounds, tile=tile)
-    assert sorted(set(rows(out, "doc_id", "n_shingles", "component_id"))) == brute_components(dict(cases).items())
-    assert out.count() == len(cases)
+    return cases + [(20000 + j, passage.upper()) for j in range(5)] + [(20010, "A b C d e"), (20011, "a B c d E"), (20012, "a b c d e f"), (20013, "a b c d")]
+
+
+@pytest.mark.parametrize(("tile", "first"), [(1024, 2), (6, 2), (3, 0)])
+def test_ngram_join(spark, tile, first, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FIRST", first)  # 0: all is left to the later turns
+    cases = [*{r[0]: r for r in near_cases()}.values()]
+    rng = random.Random(18)
+    far = text(300, rng)  # a chain of copies, each with more words replaced
+    for j in range(40):
+        far = near_copy(far, rng, 0.006)
+        cases.append((30000 + j, far))
+    out = ngram_join.jaccard_components(docs(spark, cases), tile=tile)
+    assert sorted(rows(out, "doc_id", "n_shingles", "component_id")) == brute_components(cases)
+
+
+def test_every_link_comes_from_the_tree_search(spark, monkeypatch):
+    cases = [*{r[0]: r for r in near_cases()}.values()]
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    monkeypatch.setattr(ngram_join, "_search", lambda rows, forests: none)
+    norm = lambda t: WHITE.sub(" ", (t or "").strip(" \t\n\r\x0b\x0c").lower())
+    least = {}
+    for i, t in cases:
+        least[norm(t)] = min(i, least.get(norm(t), i))
+    out = ngram_join.jaccard_components(docs(spark, cases)).where("n_shingles > 4").collect()
+    own = dict(cases)
+    assert out and all(r.component_id == least[norm(own[r.doc_id])] for r in out)
+
+
+@pytest.mark.parametrize("cases", [[(7, "a b c d e f"), (7, "u v w x y z"), (2, "A b c d e f"), (9, "u v w x y z 1"), (None, "u v w x y z"), (None, "p q r s t")], [(1, None), (1, None), (1, "a b")]])
+def test_rows_that_share_an_id_are_nodes_of_their_own(spark, cases):
+    got = rows(ngram_join.jaccard_components(docs(spark, cases)), "doc_id", "n_shingles", "component_id")
+    by_row = {i: c for i, _, c in brute_components([(k, t) for k, (_, t) in enumerate(cases)])}
+    name = {}
+    for k, (i, _) in enumerate(cases):
+        name[by_row[k]] = min((x for x in (i, name.get(by_row[k])) if x is not None), default=None)
+    sizes = {k: n for k, n, _ in brute_components([(k, t) for k, (_, t) in enumerate(cases)])}
+    assert got == sorted(((i, sizes[k], name[by_row[k]]) for k, (i, _) in enumerate(cases)), key=repr)
+    kept = {}
+    for k, (i, _) in enumerate(cases):
+        kept[by_row[k]] = min(kept.get(by_row[k], (True, 0, k)), (i is None, i or 0, k))
+    assert rows(ngram_join.keep_one(docs(spark, cases)), "doc_id", "text") == sorted((cases[k] for _, _, k in kept.values()), key=repr)
+
+
+def test_words_hash_alike_in_long_texts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    words = [" ".join(RNG.choice(WORDS) for _ in range(300)), "y" * 500, text(200), "z" * 65, "y" * 500]
+    data = " ".join(words).encode()
+    monkeypatch.setattr(ngram_join, "WIDTH", 1)
+    assert len(ngram_join.shingles(data)) == len(set(data.split()))
 
 
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.jaccard_components(docs(spark, [])).count() == 0
     assert rows(ngram_join.jaccard_components(docs(spark, [(1, None), (None, "a b"), (2, " ")])), "doc_id", "component_id") == [(1, 1), (2, 2), (None, None)]
     kept = ngram_join.keep_one(docs(spark, [(1, "a b c d e"), (2, "a b c d e"), (3, None), (None, "a b c d e")]))
-    assert rows(kept, "doc_id") == [(1,), (3,), (None,)] and "keep_id" in kept.columns
+    assert rows(kept, "doc_id") == [(1,), (3,)] and "keep_id" in kept.columns
 
 
 def test_tree_search_loses_nothing():
@@ -266,14 +311,20 @@ def test_tree_search_loses_nothing():
     sets = [np.unique(rng.integers(0, 2**64, rng.integers(4, 90), dtype=np.uint64)) for _ in range(60)]
     sets += [np.unique(np.concatenate([s[rng.random(len(s)) > 0.08], rng.integers(0, 2**64, 3, dtype=np.uint64)])) for s in sets]
     n = np.array([len(s) for s in sets])
-    pairs = ngram_join._search_group(np.arange(len(sets)), n, np.arange(len(sets)), np.zeros(len(sets), int), [ngram_join.count_vector(s) for s in sets], 10**9)
-    pairs = [(a, b) for a, b, _ in pairs]
+    ids, vectors = np.arange(len(sets)), [ngram_join.count_vector(s) for s in sets]
+    pairs, more = ngram_join._search_group(ids, n, ids, np.zeros(len(sets), int), vectors, 10**9)
+    assert not more and len(pairs) == len(set(pairs)) < 100
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
             common = len(np.intersect1d(sets[a], sets[b]))
             if 100 * common >= 80 * (n[a] + n[b] - common):
                 assert (a, b) in pairs
-    assert len(pairs) < 100
+    # Copies of one set: a forest joins them, and there are others until all components are one.
+    ids, ten = np.arange(10), [vectors[0]] * 10
+    pairs, more = ngram_join._search_group(ids, np.full(10, n[0]), ids, np.zeros(10, int), ten, 1)
+    assert more and pairs == [(0, k) for k in range(1, 10)]
+    assert ngram_join._search_group(ids, np.full(10, n[0]), np.zeros(10, int), np.zeros(10, int), ten, 1) == ([], False)
+    assert sorted(ngram_join._search_group(ids, np.full(10, n[0]), ids, np.where(ids < 5, 1, 2), ten, 99)[0]) == [(a, b) for a in range(5) for b in range(5, 10)]
 
 
 def words_of(t):
