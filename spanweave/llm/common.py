@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..runtime import scratch_dir, ship_package
 
@@ -32,6 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (in any case)."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def crc32_mod(id_column: str, divisor: int) -> Column:
     """crc32 of an id written as decimal text, modulo divisor; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(0)) % F.lit(divisor)
@@ -71,14 +80,30 @@ def map_arrow(df: DataFrame, function, schema: str, keeps: bool = False) -> Data
     return df.mapInArrow(run, schema)
 
 
-#: Rows of a narrow table (ids and a few numbers) that may be broadcast: some 50 MB in memory at most.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of a table that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+
+
+def width(df: DataFrame) -> Column:
+    """Bytes of a row, about: strings, binaries and arrays by their length."""
+    total = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        kind, c = f.dataType, F.col(f"`{f.name}`")
+        if kind.simpleString() in ("string", "binary"):
+            total += F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(kind, ArrayType):
+            each = 8 * len(kind.elementType.fields) if isinstance(kind.elementType, StructType) else 8
+            total += each * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+        else:
+            total += 8
+    return total
 
 
 def bounded(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Stage a narrow table; mark it for broadcast if it has at most so many rows, else leave it to a shuffled join."""
+    """Stage a table; mark it for broadcast if its rows and bytes are within the bounds, else leave it to a shuffled join."""
     df = stage(df, name)
-    return F.broadcast(df) if df.count() <= rows else df
+    n, size = df.agg(F.count("*"), F.sum(width(df))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 _KEPT: dict[str, object] = {}

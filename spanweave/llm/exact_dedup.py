@@ -3,12 +3,13 @@
 A text's white space runs become single spaces, a windowed hash of its bytes cuts it into chunks, and each chunk gets
 a fingerprint and an independent check digest. Chunk fingerprints are deduplicated over the corpus: where one
 fingerprint stands for chunks with different check digests, the digest joins the identifier, so an identifier is one
-chunk content. Two texts are equal when their ordered identifier lists are. Texts themselves are never shuffled, only
-8 bytes (and a check digest) for each chunk of some 1.5 KB; SHA-256 of the whole text is a last check in the key.
+chunk content. Two texts are equal when their ordered identifier lists are: these lists are what texts are grouped by.
+Texts themselves are never shuffled, only 8 bytes (and a check digest) for each chunk of some 1.5 KB. SHA-256 of the
+whole text decides nothing; a group with two of them stops the run.
 
-Defined cases: null text counts as empty; empty texts equal each other; of equal texts the smallest id stays (a null id
-sorts first), of rows with equal text and id too all carry the same decision; an empty table gives no rows; further
-columns of the input are ignored.
+Defined cases: null text counts as empty; empty texts equal each other; of equal texts the smallest id that is not null
+stays (null where all are), of rows with equal text and id too all carry the same decision; an empty table gives no
+rows; further columns of the input are ignored, or kept by deduplicate().
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, map_arrow, stage
+from .common import bounded, free_name, map_arrow, stage
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK, WINDOW = 512, 10, 8192, 32
 _TO_SPACE = bytes(32 if 9 <= b <= 13 else b for b in range(256))
@@ -102,11 +103,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     else:
         held = docs.select("prints", F.explode(_pieces("prints", 8)).alias("fp")).join(unclear, "fp", "left_semi").select("prints").distinct()
         docs = docs.join(held.withColumn("held", F.lit(True)), "prints", "left").withColumn(
-            "recipe", F.when(F.col("held"), F.concat("prints", "checks")).otherwise(F.col("prints"))
+            "recipe", F.when(F.col("held"), F.concat("prints", "checks", F.lit(b"+"))).otherwise(F.col("prints"))
         )
     # Copies meet as partial aggregates; only texts that occur twice go back to the rows.
-    several = docs.groupBy("text_sha256", "recipe").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    joined = docs.join(bounded(several, "several", 200_000), ["text_sha256", "recipe"], "left")
+    sha = F.xxhash64("text_sha256")
+    one = F.when(F.min(sha) == F.max(sha), F.count("*")).otherwise(F.raise_error(F.lit("one recipe has two texts")).cast("bigint"))
+    several = docs.groupBy("recipe").agg(F.min("id").alias("keep_id"), one.alias("group_size")).where("group_size > 1")
+    joined = docs.join(bounded(several, "several", 200_000), "recipe", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("id").alias(id_col),
@@ -120,25 +123,26 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with all their columns. Of fully repeated rows (same id and text) one stays."""
     groups = stage(exact_groups(df, id_col, text_col), "groups").where("group_size > 1")
-    keys = [F.col(id_col).alias("__id"), F.col("text_sha256").alias("__text")]
+    own, sha, copy = (free_name(df, n) for n in ("id", "sha", "copy"))
+    keys = [F.col(id_col).alias(own), F.col("text_sha256").alias(copy)]
     drop = bounded(groups.where(~F.col("kept")).select(*keys).distinct(), "dropped", 200_000)
     twice = groups.where("kept").groupBy(id_col, "text_sha256").count().where("count > 1").select(*keys)
     twice = bounded(twice, "twice", 200_000)
-    ids = bounded(drop.select("__id").unionByName(twice.select("__id")).distinct(), "ids")
+    ids = bounded(drop.select(own).unionByName(twice.select(own)).distinct(), "ids")
 
     @F.pandas_udf("string")
     def digest(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: hashlib.sha256(normalise(x or b"")).hexdigest())
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        same = left[id_col].eqNullSafe(right["__id"])
-        return left.join(right, same & (left["__sha"] == right["__text"]) if "__text" in right.columns else same, how)
+        same = left[id_col].eqNullSafe(right[own])
+        return left.join(right, same & (left[sha] == right[copy]) if copy in right.columns else same, how)
 
     # An id may stand for several texts: only rows with an id that has copies are hashed again, and decided by both.
-    asked = joined(df, ids, "left_semi").withColumn("__sha", digest(F.col(text_col).cast("binary")))
+    asked = joined(df, ids, "left_semi").withColumn(sha, digest(F.col(text_col).cast("binary")))
     asked = joined(asked, drop, "left_anti")
     stay = joined(df, ids, "left_anti")
     if twice.isEmpty():
-        return stay.unionByName(asked.drop("__sha"))
-    again = joined(asked, twice, "left_semi").dropDuplicates([id_col, "__sha"])
-    return stay.unionByName(joined(asked, twice, "left_anti").drop("__sha")).unionByName(again.drop("__sha"))
+        return stay.unionByName(asked.drop(sha))
+    again = joined(asked, twice, "left_semi").dropDuplicates([id_col, sha])
+    return stay.unionByName(joined(asked, twice, "left_anti").drop(sha)).unionByName(again.drop(sha))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, forget, map_arrow, release_shuffles, ship_package, stage
+from .common import bounded, forget, free_name, map_arrow, release_shuffles, ship_package, stage
 
 WIDTH = 5
 #: Bits of a shingle's bucket in the table of frequencies, and slices that the table is summed in.
@@ -580,9 +580,7 @@ def _numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     ids = df.select(F.col(id_col).cast("bigint").alias("id")).groupBy("id").count()
     if ids.where("id is null or count > 1").isEmpty():
         return df, id_col
-    name = "row"
-    while name in df.columns:
-        name += "_"
+    name = free_name(df, "row")
     return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 

@@ -204,6 +204,24 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     assert rows(exact_dedup.exact_groups(df), "doc_id", "keep_id") == [(1, 1), (2, 2), (3, 1)]
 
 
+def test_recipes_decide_and_sha256_only_checks(spark, monkeypatch):
+    df = docs(spark, [(1, "one"), (2, "two"), (3, "one")])
+    made = exact_dedup.recipes(df)
+    monkeypatch.setattr(exact_dedup, "recipes", lambda *a: made.withColumn("text_sha256", F.lit("same")))
+    assert rows(exact_dedup.exact_groups(df), "doc_id", "keep_id", "group_size") == [(1, 1, 2), (2, 2, 1), (3, 1, 2)]
+    monkeypatch.setattr(exact_dedup, "recipes", lambda *a: made.withColumn("text_sha256", F.col("id").cast("string")))
+    with pytest.raises(Exception, match="one recipe has two texts"):
+        exact_dedup.exact_groups(df).collect()
+
+
+def test_columns_with_clashing_names(spark):
+    df = docs(spark, [(1, "a b"), (1, "a  b"), (2, "a b"), (2, "c")]).withColumns({c: F.lit(5) for c in ("row", "sha", "copy", "__sha", "__score", "__text", "own", "best")})
+    assert rows(exact_dedup.deduplicate(df), "doc_id", "text", "sha", "__sha") in ([(1, "a  b", 5, 5), (2, "c", 5, 5)], [(1, "a b", 5, 5), (2, "c", 5, 5)])
+    assert exact_dedup.deduplicate(df).columns == ngram_join.keep_one(df).columns == df.columns
+    scored = quality.score(df, quality.train([]), keep=True)
+    assert scored.columns[:-1] == df.columns and scored.count() == 4
+
+
 def test_chunks_follow_content():
     data = bytes(RNG.randrange(256) for _ in range(60000))
     cut = exact_dedup.cut_points(data)
