@@ -1,12 +1,13 @@
 """Quality classifier: supervised subword embeddings, learned by stochastic gradient descent in numpy.
 
-A document's features are hashed n-grams: each word, each run of 3 or 4 characters of a word between word marks, and a
-word bigram for each word that repeats the one before it. Each feature has a learned vector; a document's vector is
-their average over all occurrences; a softmax over a linear layer gives the label. Once learned, a feature's vector
-matters only through its product with that layer, so a word's share of the score is one number that workers remember.
+A document's features are hashed n-grams: each word, each run of 3 or 4 characters of a word between word marks, and
+each two words in a row; two equal words in a row are also a feature that all such pairs share, as their own is unseen
+where the word is rare. Each feature has a learned vector; a document's vector is their average over all occurrences; a
+softmax over a linear layer gives the label. Once learned, a feature's vector matters only through its product with that
+layer, so a word's share of the score is one number that workers remember.
 
-Learning takes a bounded sample of labelled rows (limit, 4,000 by default), whole texts; scoring covers every row and
-whole text where the row is read, without a shuffle.
+Learning takes a bounded sample of labelled rows (limit, 4,000 by default, and 64 MB), whole texts; scoring covers every
+row and whole text where the row is read, without a shuffle.
 
 Defined cases: null and empty text have no features and the score of the bias alone; without labelled rows of both
 kinds every score is the share of label 1 (0.5 without labels); repeated rows score alike; an empty table gives no
@@ -16,7 +17,6 @@ rows; further columns are ignored.
 from __future__ import annotations
 
 import math
-import operator
 import uuid
 import zlib
 
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from .common import map_arrow, texts, worker_cache
 from .samples import labelled_sample
 
-BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 16, 8, 6, 0.5, 17
+#: Buckets of words and character runs, of word pairs, which come after them, and in all: the last is that of equal words.
+BUCKETS, PAIRS = 1 << 16, 1 << 18
+ALL = BUCKETS + PAIRS + 1
+DIM, EPOCHS, RATE, STEP, SEED = 8, 6, 0.5, 1.0, 17
 SAMPLE = 4000
-REMEMBERED = 300_000
-_REPEAT = zlib.crc32(b"\x00same same") % BUCKETS
+REMEMBERED = 150_000
 
 
 def word_features(word: str) -> list[int]:
@@ -48,22 +50,33 @@ def word_features(word: str) -> list[int]:
     return [crc(b"\x01" + word.encode("utf-8", "surrogatepass")) % BUCKETS, *[crc(g) % BUCKETS for g in grams]]
 
 
+def word_hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"), 0x5A17)
+
+
+def pair_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of each two words in a row, from the words' 32-bit hashes; then one for each two equal ones."""
+    mixed = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed ^= mixed >> np.uint64(29)
+    own = BUCKETS + ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.int64) % PAIRS
+    return np.concatenate([own, np.full(np.count_nonzero(hashes[:-1] == hashes[1:]), ALL - 1)])
+
+
 def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and how often each occurs."""
     words = text.split()
     counts: dict[str, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
+    hashes = {w: word_hash(w) for w in counts}
     buckets, times = [], []
     for w, n in counts.items():
         f = word_features(w)
         buckets += f
         times += [n] * len(f)
-    if same := sum(map(operator.eq, words, words[1:])):
-        buckets.append(_REPEAT)
-        times.append(same)
-    found, at = np.unique(np.array(buckets, dtype=np.int64), return_inverse=True)
-    return found, np.bincount(at, weights=np.array(times, dtype=np.float64), minlength=len(found))
+    pairs = pair_buckets(np.array([hashes[w] for w in words], dtype=np.uint64)) if words else np.empty(0, np.int64)
+    found, at = np.unique(np.concatenate([np.array(buckets, dtype=np.int64), pairs]), return_inverse=True)
+    return found, np.bincount(at, weights=np.concatenate([times, np.ones(len(pairs))]), minlength=len(found))
 
 
 class Model:
@@ -78,13 +91,24 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def gradients(vectors: np.ndarray, share: np.ndarray, layer: np.ndarray, bias: np.ndarray, y: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The loss (minus the log-probability of label y) and its gradients by the features' vectors, the layer and the bias."""
+    hidden = share @ vectors
+    z = hidden @ layer + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    loss = -math.log(max(float(p[y]), 1e-300))
+    p[y] -= 1.0
+    return loss, np.outer(share, layer @ p), np.outer(hidden, p), p
+
+
 def train(rows: list[tuple[str, int]]) -> Model:
     ones = sum(y for _, y in rows)
     if not 0 < ones < len(rows):
         p = min(max(ones / len(rows), 1e-3), 1 - 1e-3) if rows else 0.5
-        return Model(np.zeros(BUCKETS), math.log(p / (1 - p)))
+        return Model(np.zeros(ALL), math.log(p / (1 - p)))
     rng = np.random.default_rng(SEED)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (ALL, DIM))
     layer, bias = np.zeros((DIM, 2)), np.zeros(2)
     seen = []
     for text, y in rows:
@@ -96,32 +120,27 @@ def train(rows: list[tuple[str, int]]) -> Model:
             found, share, y = seen[k]
             rate = RATE * (1 - steps / total)
             steps += 1
-            hidden = share @ vectors[found]
-            z = hidden @ layer + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y] -= 1.0  # the gradient of the loss by z
-            back = layer @ p
-            layer -= rate * np.outer(hidden, p)
-            bias -= rate * 0.1 * p
-            # A feature's share of the average is small; its step is scaled up so that rare features learn too.
-            vectors[found] -= (rate * 20.0 * np.sqrt(share))[:, None] * back
+            _, d_vectors, d_layer, d_bias = gradients(vectors[found], share, layer, bias, y)
+            layer -= rate * d_layer
+            bias -= rate * 0.1 * d_bias
+            # A step along the gradient, as long as moves the document's own vector by the rate, however many features.
+            vectors[found] -= rate * STEP / max(float(share @ share), 1e-12) * d_vectors
     side = layer[:, 1] - layer[:, 0]
     return Model(vectors @ side, float(bias[1] - bias[0]))
 
 
 class _Words(dict):
-    """A word's summed weight and number of features."""
+    """A word's summed weight, number of features and hash."""
 
     def __init__(self, weight: list[float]) -> None:
         self.weight = weight
 
-    def __missing__(self, word: str) -> tuple[float, int]:
+    def __missing__(self, word: str) -> tuple[float, int, int]:
         if len(self) > REMEMBERED:
             self.clear()
         f = word_features(word)
         w = self.weight
-        out = self[word] = (sum([w[i] for i in f]), len(f))
+        out = self[word] = (sum([w[i] for i in f]), len(f), word_hash(word))
         return out
 
 
@@ -129,27 +148,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = SAMPLE,
     return train(labelled_sample(docs, labels, label, learn, limit, id_col, text_col))
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """The id (with keep: all columns) of each row and its score in [0, 1]. The model has a fixed size."""
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, out: str = "score") -> DataFrame:
+    """The id (with keep: all columns) of each row and its score in [0, 1], in a column named out. The model has a fixed size."""
     shared, key = df.sparkSession.sparkContext.broadcast((model.weight.astype(np.float64), model.bias)), uuid.uuid4().hex
 
     def of(batch: pa.RecordBatch) -> dict:
         weight, bias = shared.value
-        words, repeat = worker_cache(key, lambda: _Words(weight.tolist())), float(weight[_REPEAT])
-        out = []
-        for text in texts(batch.column(batch.num_columns - 1)):
+        words = worker_cache(key, lambda: _Words(weight[:BUCKETS].tolist()))
+        scores = []
+        for text in texts(batch.column(at)):
             parts = text.split()
             total, n = 0.0, 0
             if parts:
                 got = list(map(words.__getitem__, parts))
-                sums, counts = zip(*got, strict=True)
-                same = sum(map(operator.eq, parts, parts[1:]))
-                total, n = math.fsum(sums) + repeat * same, sum(counts) + same
+                sums, counts, hashes = zip(*got, strict=True)
+                pairs = weight[pair_buckets(np.array(hashes, dtype=np.uint64))]
+                total, n = math.fsum(sums) + float(pairs.sum()), sum(counts) + len(pairs)
             z = bias + (total / n if n else 0.0)
-            out.append(1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z)))))
-        return {f: batch.column(i) for i, f in enumerate(batch.schema.names[:-1])} | {"__score": out}
+            scores.append(1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z)))))
+        return {c: batch.column(i) for i, c in enumerate(columns)} | {out: scores}
 
     columns = df.columns if keep else [id_col]
-    read = df.select(*[F.col(c) for c in columns], F.col(text_col).alias("__text"))
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns] + ["__score double"])
+    read, at = (df, df.columns.index(text_col)) if keep else (df.select(id_col, text_col), 1)
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns] + [f"`{out}` double"])
     return map_arrow(read, of, schema, keeps=True)

@@ -60,8 +60,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, crc32_mod("doc_id", 4) != 2)
     held = (crc32_mod("doc_id", 4) == 2).alias("held_out")
-    scored = quality.score(docs, model).withColumnRenamed("__score", "score")
-    return scored.select("doc_id", held, "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+    return quality.score(docs, model).select("doc_id", held, "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

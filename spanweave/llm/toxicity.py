@@ -6,8 +6,8 @@ word beginnings, learned from labelled rows by their log-odds; further entries m
 word's beginning, and not inside an exception phrase. The weighted hits, the same in proportion to the text's length,
 and the number of different entries go into a logistic function.
 
-Learning takes a bounded sample of labelled rows (limit, 6,000 by default), whole texts; the lexicon has a bounded
-size. Scoring covers every row and whole text where the row is read, without a shuffle.
+Learning takes a bounded sample of labelled rows (limit, 6,000 by default, and 64 MB), whole texts; that bounds the
+lexicon, as an entry must mark LEAST_DOCS rows and explain three of them anew. Scoring covers every row and whole text where the row is read, without a shuffle.
 
 Defined cases: null and empty text have no hits and the lowest score; without labelled rows of both kinds the lexicon
 is what was given; repeated rows score alike; an empty table gives no rows; further columns are ignored.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, texts, worker_cache
 from .samples import labelled_sample
 
-SAMPLE, ENTRIES, LEAST_DOCS = 6000, 400, 5
+SAMPLE, LEAST_DOCS = 6000, 5
 #: Harmless phrases that hold words of abuse.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "sore loser", "pond scum", "scum line", "idiot proof", "killer whale")
 #: Look-alikes of Latin letters in Cyrillic and Greek, and signs and digits used for letters.
@@ -157,8 +157,6 @@ def learn_entries(rows: list[tuple[str, int]]) -> dict[str, tuple[float, bool]]:
         whole = not p.endswith("*")
         if bare not in out:
             out[bare] = (weight(p), whole)
-        if len(out) >= ENTRIES:
-            break
     return out
 
 
@@ -192,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = SAMPLE,
 
 
 def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, score in [0, 1] and n_hits_log (the weighted hits). The lexicon has a bounded size."""
+    """Each row's id, score in [0, 1] and weight (of its hits, summed). The lexicon has a bounded size."""
     shared, key = df.sparkSession.sparkContext.broadcast(lexicon), uuid.uuid4().hex
 
     def of(batch: pa.RecordBatch) -> dict:

@@ -218,7 +218,7 @@ def test_columns_with_clashing_names(spark):
     df = docs(spark, [(1, "a b"), (1, "a  b"), (2, "a b"), (2, "c")]).withColumns({c: F.lit(5) for c in ("row", "sha", "copy", "__sha", "__score", "__text", "own", "best")})
     assert rows(exact_dedup.deduplicate(df), "doc_id", "text", "sha", "__sha") in ([(1, "a  b", 5, 5), (2, "c", 5, 5)], [(1, "a b", 5, 5), (2, "c", 5, 5)])
     assert exact_dedup.deduplicate(df).columns == ngram_join.keep_one(df).columns == df.columns
-    scored = quality.score(df, quality.train([]), keep=True)
+    scored = quality.score(df, quality.train([]), keep=True, out="score_")
     assert scored.columns[:-1] == df.columns and scored.count() == 4
 
 
@@ -479,11 +479,85 @@ def test_quality(spark):
     scores = {}
     for i, t in cases:
         scores.setdefault(i, model.score(t or ""))
-    assert len(got) == len(cases) and all(abs(scores[r.doc_id] - r["__score"]) < 1e-9 and 0 <= r["__score"] <= 1 for r in got)
-    assert quality.score(docs(spark, []), model, keep=True).columns == [*docs(spark, []).columns, "__score"]
+    assert len(got) == len(cases) and all(abs(scores[r.doc_id] - r["score"]) < 1e-9 and 0 <= r["score"] <= 1 for r in got)
+    assert quality.score(docs(spark, []), model, keep=True).columns == [*docs(spark, []).columns, "score"]
     assert quality.train([]).score("x") == 0.5 and quality.train([("a", 1)]).score("b") > 0.9
 
 
+def naive_quality(model, t):
+    """The score by its definition: the average over all n-grams, one by one."""
+    words, found = t.split(), []
+    for w in words:
+        found += quality.word_features(w)
+    for a, b in zip(words, words[1:], strict=False):
+        found += quality.pair_buckets(np.array([quality.word_hash(a), quality.word_hash(b)], dtype=np.uint64)).tolist()
+    z = model.bias + (sum(float(model.weight[f]) for f in found) / len(found) if found else 0.0)
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+
+
+def test_quality_scores_are_averages_over_all_ngrams(spark):
+    model = quality.train([(t, y) for _, t, y in labelled(40, 5)])
+    cases = [*{r[0]: r for r in ODD}.values(), (50, "a a a b a a"), (51, "b a a a a a")]
+    got = {r.doc_id: r["score"] for r in quality.score(docs(spark, cases), model).collect()}
+    for i, t in cases:
+        assert abs(got[i] - naive_quality(model, t or "")) < 1e-9
+    assert got[50] != got[51]  # the order of words counts
+
+
+def test_gradients():
+    rng = np.random.default_rng(2)
+    vectors, layer, bias, share = rng.normal(size=(5, 3)), rng.normal(size=(3, 2)), rng.normal(size=2), rng.dirichlet(np.ones(5))
+    for y in (0, 1):
+        _, *given = quality.gradients(vectors, share, layer, bias, y)
+        for which, d in enumerate(given):
+            for at in np.ndindex(d.shape):
+                sides = []
+                for e in (1e-6, -1e-6):
+                    x = [vectors.copy(), layer.copy(), bias.copy()]
+                    x[which][at] += e
+                    sides.append(quality.gradients(x[0], share, x[1], x[2], y)[0])
+                assert abs((sides[0] - sides[1]) / 2e-6 - d[at]) < 1e-6
+
+
+def test_samples_are_bounded(spark):
+    from spanweave.llm.samples import labelled_sample
+
+    texts_ = docs(spark, [(1, "x" * 10)] * 50 + [(1, "short"), (2, "two"), (3, None), (4, "z" * 1000), (9, "no label")])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (None, 1)], "doc_id bigint, toxic int")
+    assert sorted(labelled_sample(texts_, labels, "toxic", F.lit(True), 100)) == [("", 0), ("short", 1), ("two", 0), ("z" * 1000, 0)]
+    assert sorted(labelled_sample(texts_, labels, "toxic", F.lit(True), 100, most=100)) == [("", 0), ("short", 1), ("two", 0)]
+    assert len(labelled_sample(texts_, labels, "toxic", F.lit(True), 4)) == 3
+    assert labelled_sample(texts_, labels, "toxic", F.lit(True), 100, most=-1) == []
+
+
+def naive_toxicity(lexicon, t):
+    """The features by their definition: every entry at every word's beginning, exceptions by searching for them."""
+    t = toxicity.fold(t)
+    letter = lambda k: 0 <= k < len(t) and t[k].isalpha()
+    spared = [(k, k + len(x)) for x in lexicon.exceptions for k in range(len(t)) if t.startswith(x, k) and not letter(k - 1) and not letter(k + len(x))]
+    best = {}
+    for k in range(len(t)):
+        if letter(k - 1):
+            continue
+        for pattern, (weight, whole) in lexicon.entries.items():
+            end = k + len(pattern)
+            if t.startswith(pattern, k) and not (whole and letter(end)) and not any(a <= k and end <= b for a, b in spared):
+                best[k] = max(best.get(k, (0.0, "")), (weight, pattern))
+    total, words = sum(w for w, _ in best.values()), len(re.findall(r"[^\W\d_]+", t)) or 1
+    return math.log1p(total), math.log1p(100 * total / words), math.log1p(len({p for _, p in best.values()}))
+
+
+def test_automaton_equals_naive_search():
+    rng = random.Random(6)
+    lexicon = toxicity.Lexicon({toxicity.fold(w): (x, whole) for w, x, whole in (("scum", 2.0, True), ("trash", 1.5, False), ("tras", 1.0, False), ("loser", 1.0, True), ("idiot", 2.5, False))}, (-3.0, 1.0, 0.5, 1.0))
+    automaton = lexicon.automaton()
+    pool = ["scum", "scums", "5cum", "pond", "line", "trash", "tra5h", "can", "bin", "trashy", "loser", "l0ser", "sore", "id!ot", "idiot", "proof", "ѕсum", "a", "-", "x1", "!", "", "é"]
+    for _ in range(500):
+        t = rng.choice([" ", ""]).join(rng.choice(pool) + rng.choice(["", " ", ".", "\n"]) for _ in range(rng.randint(0, 9)))
+        x = lexicon.features(toxicity.fold(t), automaton)
+        assert all(abs(a - b) < 1e-12 for a, b in zip(x, naive_toxicity(lexicon, t), strict=True)), t
+
+
 def test_fit_reads_only_rows_to_learn_from(spark):
     rows_ = labelled(40, 3)
     texts_ = docs(spark, [(i, t) for i, t, _ in rows_] + [(10000, None)])
