@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the docs of
 the next. All but the last return the columns of documents. A stage covers all that the one before it kept.
 
-Defined cases: those of the operators. Null texts have no features, so the bias decides in the first stage; rows with a
-null id stay in stages 3 and 4, which decide by id; empty tables give empty results; extra columns are carried on.
+Defined cases: those of the operators. Null texts have no features, so the bias decides in the first stage. Stages 2, 3
+and 4 decide by row, whatever its id. Empty tables give empty results; extra columns are carried on.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm import decontamination, exact_dedup, ngram_join, packing, quality
-from spanweave.llm.common import crc32_mod, scratch_dir, table
+from spanweave.llm.common import crc32_mod, free_name, scratch_dir, table
 from spanweave.llm.queries import QUALITY_LEAST, vocabulary
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the rows that op8 learns from."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), crc32_mod("doc_id", 4) != 2)
-    return quality.score(docs, model, keep=True).where(F.col("__score") >= QUALITY_LEAST).drop("__score")
+    score = free_name(docs, "score")
+    return quality.score(docs, model, keep=True, out=score).where(F.col(score) >= QUALITY_LEAST).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
