@@ -41,6 +41,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """df with a column of unique numbers and its name: the ids, if they are unique, else a new one (staged)."""
+    ids = df.select(F.col(id_col).cast("bigint").alias("id")).groupBy("id").count()
+    if ids.where("id is null or count > 1").isEmpty():
+        return df, id_col
+    name = free_name(df, "row")
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def crc32_mod(id_column: str, divisor: int) -> Column:
     """crc32 of an id written as decimal text, modulo divisor; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(0)) % F.lit(divisor)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, forget, free_name, map_arrow, release_shuffles, ship_package, stage
+from .common import bounded, forget, map_arrow, numbered, release_shuffles, ship_package, stage
 
 WIDTH = 5
 #: Bits of a shingle's bucket in the table of frequencies, and slices that the table is summed in.
@@ -575,35 +575,26 @@ def _core(docs: DataFrame, tile: int) -> DataFrame:
     return named.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("comp"))
 
 
-def _numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
-    """df with a column of unique numbers and its name: the ids, if they are unique, else a new one (staged)."""
-    ids = df.select(F.col(id_col).cast("bigint").alias("id")).groupBy("id").count()
-    if ids.where("id is null or count > 1").isEmpty():
-        return df, id_col
-    name = free_name(df, "row")
-    return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
-
-
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """One row per input row: its id, n_shingles and component_id."""
-    numbered, row = _numbered(df.select(id_col, text_col), id_col)
-    found = _core(_id_bytes(numbered, row, text_col), tile)
+    rows, row = numbered(df.select(id_col, text_col), id_col)
+    found = _core(_id_bytes(rows, row, text_col), tile)
     if row == id_col:
         return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
-    found = stage(found.join(numbered.select(F.col(row).alias("id"), F.col(id_col).alias("own")), "id"), "classes")
+    found = stage(found.join(rows.select(F.col(row).alias("id"), F.col(id_col).alias("own")), "id"), "classes")
     least = found.groupBy("comp").agg(F.min("own").alias("component_id"))
     return found.join(least, "comp").select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """The rows of df without those that another of their component stands for: that with the least id (null: last)."""
-    numbered, row = _numbered(df, id_col)
-    found = _core(_id_bytes(numbered, row, text_col), tile)
+    rows, row = numbered(df, id_col)
+    found = _core(_id_bytes(rows, row, text_col), tile)
     if row == id_col:
         drop = found.where("id <> comp").select(F.col("id").alias(row))
     else:
-        found = stage(found.join(numbered.select(F.col(row).alias("id"), F.col(id_col).alias("own")), "id"), "classes")
+        found = stage(found.join(rows.select(F.col(row).alias("id"), F.col(id_col).alias("own")), "id"), "classes")
         order = F.struct(F.col("own").isNull().alias("none"), "own", "id")
         best = found.groupBy("comp").agg(F.min(order).alias("best")).select("comp", F.col("best.id").alias("stays"))
         drop = found.join(best, "comp").where("id <> stays").select(F.col("id").alias(row))
-    return numbered.join(bounded(drop, "dropped"), row, "left_anti").select(*df.columns)
+    return rows.join(bounded(drop, "dropped"), row, "left_anti").select(*df.columns)

@@ -386,12 +386,21 @@ def test_decontamination(spark):
     assert [g[:2] for g in got] == sorted(merged, key=repr)
     assert {(g[0], g[1]): g[2] for g in got} == {k: v[2] for k, v in merged.items()}
     clean = decontamination.decontaminate(docs(spark, cases), spark.createDataFrame(items, "item_id bigint, text string"))
-    assert {r.doc_id for r in clean.collect()} == {i for i, _ in cases} - {g[0] for g in got} | {None}
+    assert {r.doc_id for r in clean.collect()} == {i for i, _ in cases} - {g[0] for g in got}
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.overlaps(docs(spark, cases), none).count() == 0
     assert decontamination.overlaps(docs(spark, []), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
 
 
+def test_rows_and_items_without_an_id_are_searched(spark):
+    rng = random.Random(14)
+    one, two = text(20, rng), text(25, rng)
+    cases = [(None, f"a b {one} c"), (None, text(30, rng)), (4, f"{two} x"), (4, text(30, rng)), (5, text(30, rng))]
+    items = spark.createDataFrame([(None, one), (None, two), (3, text(20, rng))], "item_id bigint, text string")
+    assert rows(decontamination.overlaps(docs(spark, cases), items), "doc_id", "item_id", "item_words") == [(4, None, len(words_of(two))), (None, None, len(words_of(one)))]
+    assert rows(decontamination.decontaminate(docs(spark, cases), items), "doc_id", "text") == sorted((cases[k] for k in (1, 3, 4)), key=repr)
+
+
 def test_masks_leave_no_window_without_a_hit():
     for a in range(13):
         for b in range(a, 13):
