@@ -341,54 +341,68 @@ class Searcher:
         return self.order[at]
 
 
-def _search_group(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sides: np.ndarray, vectors: list, forests: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of one tile in different components that may link, in so many forests, and whether there are others.
+def _candidates(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sides: np.ndarray, vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each two members in different components that a tree search leaves, those of the greatest bounds first.
 
-    Each member searches the trees, those with least ids first. Of what is left in every component but its own it takes
-    the point with the greatest bound, and what it took is then one component with it. A further forest starts from the
-    components as they were, without the pairs taken before. sides: 0 queries and points, 1 queries, 2 points.
+    sides: 0 queries and points, 1 queries, 2 points.
     """
     classes = size_class(sizes)
     fine = [unpack(v, int(n)) for v, n in zip(vectors, sizes, strict=True)]
-    trees = []
+    each = bool((sides == 0).all())
+    one, two, far = [], [], []
     for cls in np.unique(classes[sides != 1]).tolist():
         points = np.flatnonzero((classes == cls) & (sides != 1))
-        trees.append((cls, points, Searcher(np.stack([coarse(fine[k], cls) for k in points]), sizes[points])))
-    queries = np.flatnonzero(sides != 2)
-    queries = queries[np.argsort(ids[queries], kind="stable")].tolist()
-    taken: dict[int, list[int]] = {}
+        wide = np.stack([fine[k] for k in points])
+        tree = Searcher(wide.reshape(len(points), groups(cls), -1).sum(axis=2, dtype=np.int32), sizes[points])
+        for q in np.flatnonzero((np.abs(classes - cls) <= 1) & (sides != 2)).tolist():
+            wanted = comps[points] != comps[q]
+            if each:  # a pair is found from its lesser end
+                wanted &= ids[points] > ids[q]
+            if not wanted.any():
+                continue
+            if not len(near := tree.search(coarse(fine[q], cls), int(sizes[q]), wanted)):
+                continue
+            bound = fine_bounds(fine[q], wide[near])
+            fits = bound >= needed(int(sizes[q]), sizes[points[near]])
+            near = points[near[fits]]
+            one.append(np.full(len(near), q))
+            two.append(near)
+            far.append(bound[fits] / (sizes[near] + int(sizes[q])))
+    if not one:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    one, two, far = (np.concatenate(x) for x in (one, two, far))
+    order = np.lexsort((ids[two], ids[one], -far))
+    return one[order], two[order]
+
+
+def _search_group(ids: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sides: np.ndarray, vectors: list, forests: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of one tile in different components that may link, in so many forests, and whether there are others.
+
+    A forest takes the pairs of the greatest bounds that join components; the next one does so with what is left.
+    """
+    one, two = _candidates(ids, sizes, comps, sides, vectors)
+    label = np.unique(comps, return_inverse=True)[1].tolist()
+    left = list(zip(one.tolist(), two.tolist(), strict=True))
     out: list[tuple[int, int]] = []
-    for forest in range(forests + 1):
-        label = np.unique(comps, return_inverse=True)[1]
-        before = len(out)
-        for q in queries:
-            size = int(sizes[q])
-            for cls, points, tree in trees:
-                wanted = label[points] != label[q]
-                if abs(int(classes[q]) - cls) > 1 or not wanted.any():
-                    continue
-                at = points[tree.search(coarse(fine[q], cls), size, wanted)]
-                if q in taken:
-                    at = at[~np.isin(at, taken[q])]
-                if not len(at):
-                    continue
-                bound = fine_bounds(fine[q], np.stack([fine[k] for k in at.tolist()]))
-                fits = bound >= needed(size, sizes[at])
-                at, bound = at[fits], bound[fits] / sizes[at][fits]
-                if not len(at):
-                    continue
-                if forest == forests:  # there are others
-                    return out, True
-                at = at[np.lexsort((ids[at], -bound))]
-                joined, best = np.unique(label[at], return_index=True)
-                for k in at[best].tolist():
-                    taken.setdefault(q, []).append(k)
-                    taken.setdefault(k, []).append(q)
-                    out.append((min(int(ids[q]), int(ids[k])), max(int(ids[q]), int(ids[k]))))
-                label[np.isin(label, joined)] = label[q]
-        if len(out) == before:
+    for _ in range(forests):
+        if not left:
             break
-    return out, False
+        up = list(range(len(ids)))
+        rest = []
+        for pair in left:
+            x, y = label[pair[0]], label[pair[1]]
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x == y:
+                rest.append(pair)
+            else:
+                up[x] = y
+                out.append(pair)
+        left = rest
+    number = ids.tolist()
+    return [(min(number[q], number[k]), max(number[q], number[k])) for q, k in out], bool(left)
 
 
 def _grouped(rows: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
@@ -545,7 +559,7 @@ def _core(docs: DataFrame, tile: int) -> DataFrame:
     tried: DataFrame | None = None
     turn = 0
     while True:
-        found = stage(_search(_tiles(here, docs, tile, turn, cross=turn > 1), 1 if turn < 2 else 4 ** (turn - 1)), "found")
+        found = stage(_search(_tiles(here, docs, tile, turn, cross=turn > 1), 1 if turn < 2 else 8 ** (turn - 1)), "found")
         pairs = found.where("b is not null")
         fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         links = _verified(fresh, docs)

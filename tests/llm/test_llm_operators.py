@@ -340,7 +340,7 @@ def test_tree_search_loses_nothing():
     # Copies of one set: a forest joins them, and there are others until all components are one.
     ids, ten = np.arange(10), [vectors[0]] * 10
     pairs, more = ngram_join._search_group(ids, np.full(10, n[0]), ids, np.zeros(10, int), ten, 1)
-    assert more and pairs == [(0, k) for k in range(1, 10)]
+    assert more and len(pairs) == 9 and len({k for p in pairs for k in p}) == 10
     assert ngram_join._search_group(ids, np.full(10, n[0]), np.zeros(10, int), np.zeros(10, int), ten, 1) == ([], False)
     assert sorted(ngram_join._search_group(ids, np.full(10, n[0]), ids, np.where(ids < 5, 1, 2), ten, 99)[0]) == [(a, b) for a in range(5) for b in range(5, 10)]
 
