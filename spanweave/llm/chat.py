@@ -6,6 +6,9 @@ Leaves (a root's path ends in each) are ranked by score within their tree; for t
 walked again, from each leaf up by all powers of two, which lists every node of its path once. Each path is then
 formatted as one text and can be read back.
 
+The joins know nothing of texts. A tree's messages meet its paths in one shuffle, which is the only one that texts take;
+trees of more than HOT messages are joined by node instead, and then grouped by path.
+
 Template: a turn is a line ``### role:``, its text, and a line ``</turn>``. Inside roles and texts a backslash goes
 before each backslash and control string, so the format is reversible whatever the texts say. Assistant texts lie under
 the loss mask.
@@ -24,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage
+from .common import bounded, map_arrow, stage
 
+#: Messages of a tree that one task takes together.
+HOT = 10_000
 #: The marks of the template.
 OPEN, CLOSE = "### ", "\n</turn>\n"
 _CONTROL = re.compile(r"\\|###|</turn>")
@@ -102,25 +107,58 @@ def paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     return g.join(h, F.col("g.tree").eqNullSafe(F.col("h.tree")) & (F.col("g.leaf") == F.col("h.leaf"))).select("g.tree", "g.leaf", "rank", "score", "step", "node")
 
 
-def format_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
+def format_paths(messages: DataFrame, best: int | None = 1, nodes: DataFrame | None = None) -> DataFrame:
     """tree, leaf, rank, score, formatted and loss_spans of each chosen path.
 
-    messages: tree, node, parent, role, text, score; several rows of one node follow each other in its step.
+    messages: tree, node, role, text, and, where no nodes are given, parent and score; several rows of one node follow
+    each other in its step. nodes: tree, node, parent, score, one row for each node.
     """
-    messages = messages.select("tree", "node", "parent", "role", "text", "score")
-    nodes = messages.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.sum("score").alias("score"))
+    if nodes is None:
+        nodes = messages.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.sum("score").alias("score"))
     chosen = paths(stage(nodes, "nodes"), best)
-    g, m = chosen.alias("g"), messages.select("tree", "node", "role", "text").alias("m")
+    kinds = {c: chosen.schema[c].dataType.simpleString() for c in ("tree", "leaf")}
+    said = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    hot = bounded(said.groupBy(F.col("tree").alias("hot")).count().where(F.col("count") > HOT).select("hot"), "hot")
+    schema = f"tree {kinds['tree']}, leaf {kinds['leaf']}, rank int, score double, formatted string, loss_spans array<struct<start:int,end:int>>"
+    place = f"struct<leaf:{kinds['leaf']},rank:int,score:double,step:bigint>"
+
+    def side(df: DataFrame, how: str) -> DataFrame:
+        return df.join(hot, F.col("tree").eqNullSafe(F.col("hot")), how)
+
+    def written(rows: list[tuple]) -> dict:
+        """rows: tree, leaf, rank, score and turns of each path."""
+        done = [render(r[4]) for r in rows]
+        return {n: [r[i] for r in rows] for i, n in enumerate(("tree", "leaf", "rank", "score"))} | {"formatted": [d[0] for d in done], "loss_spans": [[{"start": a, "end": b} for a, b in d[1]] for d in done]}
+
+    def of_trees(batch: pa.RecordBatch) -> dict:
+        rows = []
+        for tree, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            turns: dict = {}
+            steps: dict[tuple, list] = {}
+            for e in entries.as_py():
+                if (p := e["place"]) is None:
+                    turns.setdefault(e["node"], []).append((e["role"], e["text"]))
+                else:
+                    steps.setdefault((p["leaf"], p["rank"], p["score"]), []).append((p["step"], e["node"]))
+            for path, on in steps.items():
+                rows.append((tree, *path, [t for _, node in sorted(on) for t in sorted(turns.get(node, ()))]))
+        return written(rows)
+
+    def of_paths(batch: pa.RecordBatch) -> dict:
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        return written([(*row, [(t["role"], t["text"]) for t in turns.as_py()]) for *row, turns in zip(*columns, batch.column(4), strict=True)])
+
+    both = side(said, "left_anti").select("tree", "node", "role", "text", F.lit(None).cast(place).alias("place"))
+    none = F.lit(None).cast("string")
+    both = both.unionByName(side(chosen, "left_anti").select("tree", "node", none.alias("role"), none.alias("text"), F.struct("leaf", "rank", "score", "step").cast(place).alias("place")))
+    trees = both.groupBy("tree").agg(F.collect_list(F.struct("node", "role", "text", "place")).alias("entries"))
+    out = map_arrow(trees, of_trees, schema)
+    if hot.isEmpty():
+        return out
+    g, m = side(chosen, "left_semi").alias("g"), side(said, "left_semi").alias("m")
     rows = g.join(m, F.col("g.tree").eqNullSafe(F.col("m.tree")) & F.col("g.node").eqNullSafe(F.col("m.node"))).drop(F.col("m.tree"), F.col("m.node"))
-    turn = F.struct("step", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    each = rows.groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-
-    def of(batch: pa.RecordBatch) -> dict:
-        done = [render([(t["role"], t["text"]) for t in turns.as_py()]) for turns in batch.column(4)]
-        return {n: batch.column(i) for i, n in enumerate(("tree", "leaf", "rank", "score"))} | {"formatted": [d[0] for d in done], "loss_spans": [[{"start": a, "end": b} for a, b in d[1]] for d in done]}
-
-    kinds = {c: each.schema[c].dataType.simpleString() for c in ("tree", "leaf")}
-    return map_arrow(each.select("tree", "leaf", "rank", "score", "turns"), of, f"tree {kinds['tree']}, leaf {kinds['leaf']}, rank int, score double, formatted string, loss_spans array<struct<start:int,end:int>>")
+    each = rows.groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(F.struct("step", "role", "text"))).alias("turns"))
+    return out.unionByName(map_arrow(each.select("tree", "leaf", "rank", "score", "turns"), of_paths, schema))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -75,10 +75,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A conversation is a tree with one branch: each turn answers the one before it.
     before = Window.partitionBy("conv_id").orderBy("turn")
     steps = rows.select("conv_id", "turn").distinct().withColumn("parent", F.lag("turn").over(before))
-    r, s = rows.alias("r"), steps.alias("s")
-    joined = r.join(s, F.col("r.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("r.turn") == F.col("s.turn")))
-    messages = joined.select(F.col("r.conv_id").alias("tree"), F.col("r.turn").alias("node"), "parent", "role", "text", F.lit(0.0).alias("score"))
-    return chat.digests(chat.format_paths(messages, best=None)).withColumnRenamed("tree", "conv_id")
+    nodes = steps.select(F.col("conv_id").alias("tree"), F.col("turn").alias("node"), "parent", F.lit(0.0).alias("score"))
+    messages = rows.select(F.col("conv_id").alias("tree"), F.col("turn").alias("node"), "role", "text")
+    return chat.digests(chat.format_paths(messages, best=None, nodes=nodes)).withColumnRenamed("tree", "conv_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

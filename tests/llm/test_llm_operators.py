@@ -456,15 +456,18 @@ def test_template_is_reversible():
         chat.parse("### user:\nhi")
 
 
-def test_reply_trees(spark):
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_reply_trees(spark, hot, monkeypatch):
+    monkeypatch.setattr(chat, "HOT", hot)  # larger trees are joined by node
     tree = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", None, 0.5), (1, 5, 4, "assistant", "end", 0.5), (1, 6, 4, "assistant", "end2", 0.5)]
     tree += [(2, 1, 9, "user", "orphan", 0.0), (3, 1, 2, "a", "x", 0.0), (3, 2, 1, "a", "y", 0.0), (None, 1, None, "user", "no tree", 1.0)]
-    tree += [(4, i, i - 1 if i else None, "user", f"m{i}", 0.0) for i in range(21)]
+    tree += [(4, i, i - 1 if i else None, "user", f"m{i}", 0.0) for i in range(21)] + [(5, 1, None, "user", "two", 0.0), (5, 1, None, "user", None, 0.0), (5, 1, None, "assistant", "rows", 0.0)]
     df = spark.createDataFrame(tree, "tree bigint, node bigint, parent bigint, role string, text string, score double").withColumn("leaf", F.lit(1)).withColumn("up", F.lit(2))
     best = {r.tree: r for r in chat.format_paths(df).collect()}
     assert chat.parse(best[1].formatted) == [("user", "q"), ("assistant", "good"), ("user", ""), ("assistant", "end")]
     assert chat.parse(best[2].formatted) == [("user", "orphan")] and best[None].formatted and 3 not in best
     assert [t for _, t in chat.parse(best[4].formatted)] == [f"m{i}" for i in range(21)]
+    assert chat.parse(best[5].formatted) == [("assistant", "rows"), ("user", ""), ("user", "two")]
     every = chat.format_paths(df, best=None)
     assert rows(every.where("tree = 1"), "leaf", "rank") == [(2, 3), (5, 1), (6, 2)]
     assert chat.format_paths(df.where("false")).count() == 0
