@@ -51,9 +51,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{scratch_dir(spark)}/warc"
-    warc.write(table(spark, sf_dir, "pages"), folder)
-    return warc.read_all(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder, pages = f"{scratch_dir(spark)}/warc", table(spark, sf_dir, "pages")
+    warc.write(pages, folder)
+    # Every URL is looked up in the index, which gives each record once.
+    return warc.read(spark, folder, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

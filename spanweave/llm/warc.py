@@ -7,8 +7,9 @@ task compresses its lines in blocks, and a sparse directory keeps each block's f
 and directory go to the folder given, by a file system that the executors share; a task that is run again writes new
 files, and only those of the attempt that counted are named in the index.
 
-Reading: a lookup searches the directory by bisection, reads the range of one block, and then the range of a record.
-Reading all goes through the same blocks, dealt by archive, and takes each record by its range.
+Reading: keys are sorted, so a task reads only the directory's rows between its first key and its last; bisection finds
+each key's blocks there, blocks are dealt out and bisected in turn, and records are read by their ranges, neighbours in
+an archive by one task. A lookup of one URL goes the same way on its own.
 
 Defined cases: null html is an empty payload, null url is an empty key; equal payloads of at least the bound (0: all)
 share one response, that of the largest id; pages that repeat an id are separate records with that id, and those with
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import bounded, map_arrow, ship_package, stage
 
 BLOCK_LINES = 3000
+#: Bytes of archives that one task reads, about.
+READ_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = "key string, page_id bigint, url string, file string, offset bigint, length bigint"
 
@@ -126,7 +129,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
             for page_id, url, html, refers_to in zip(*(batch.column(i) for i in range(4)), strict=True):
                 url, data = url.as_py(), gzip.compress(record(page_id.as_py(), url.as_py(), html.as_py(), refers_to.as_py()), 6, mtime=0)
                 out.write(data)
-                for k, v in zip(lines, (url_key(url), page_id.as_py(), url, name, at, len(data)), strict=True):
+                for k, v in zip(lines, (_field(url_key(url)), page_id.as_py(), url, name, at, len(data)), strict=True):
                     lines[k].append(v)
                 at += len(data)
             if lines["key"]:
@@ -154,7 +157,6 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                     fs.create_dir(f"{base}/index", recursive=True)
                     name = f"block-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(f"{base}/index/{name}", compression=None)
-                key = _field(key)
                 held.append((key, f"{'' if page_id is None else page_id}\t{_field(url)}\t{file}\t{offset}\t{length}\n"))
                 if len(held) == BLOCK_LINES:
                     flush()
@@ -180,27 +182,85 @@ def _lines(data: bytes) -> list[list[str]]:
     return [line.split("\t") for line in zlib.decompress(data).decode().split("\n")[:-1]]
 
 
+def _between(keys: list[str], low: str, high: str) -> slice:
+    return slice(bisect.bisect_left(keys, low), bisect.bisect_right(keys, high))
+
+
+def _blocks_of(key: str, starts: list[str], ends: list[str]) -> range:
+    """Places in a sorted directory of the blocks that may hold a key; equal keys may run over several."""
+    return range(bisect.bisect_left(ends, key), bisect.bisect_right(starts, key))
+
+
 def lookup(spark: SparkSession, folder: str, url: str) -> list[dict]:
-    """The records of a URL: directory and block by bisection, then each record by its range."""
+    """The records of a URL: only its blocks' directory rows are read, then each block by bisection, each record by its range."""
     fs, base = file_system(folder)
-    sparse = spark.read.parquet(f"{folder}/directory").select("first_key", "last_key", "file", "offset", "length").orderBy("first_key", "file", "offset").collect()
     key = _field(url_key(url))
-    # Equal keys may run over several blocks: from the last block that starts below the key to the last at or below it.
-    starts = [r.first_key for r in sparse]
+    found = spark.read.parquet(f"{folder}/directory").where((F.col("first_key") <= key) & (F.col("last_key") >= key))
     out = []
-    for row in sparse[max(0, bisect.bisect_left(starts, key) - 1) : bisect.bisect_right(starts, key)]:
-        if row.last_key < key:
-            continue
+    for row in found.collect():
         lines = _lines(_range(fs, f"{base}/index/{row.file}", row.offset, row.length))
-        keys = [x[0] for x in lines]
-        for _, _, _, file, offset, length in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
+        for _, _, _, file, offset, length in lines[_between([x[0] for x in lines], key, key)]:
             out.append(parse(gzip.decompress(_range(fs, f"{base}/archives/{file}", int(offset), int(length)))))
     return sorted(out, key=lambda r: (r["page_id"] is None, r["page_id"]))
 
 
+def keys_of(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """The distinct index keys (key) of URLs."""
+
+    def of(batch: pa.RecordBatch) -> dict:
+        return {"key": [_field(url_key(u or "")) for u in batch.column(0).to_pylist()]}
+
+    return map_arrow(urls.select(url_col).distinct(), of, "key string").distinct()
+
+
+def locate(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """file, offset, length of the records of keys, by bisection of the directory and of blocks."""
+    ship_package(spark)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        fs, base = file_system(folder)
+        directory = None
+        for batch in batches:
+            wanted = batch.column(0).to_pylist()
+            if not wanted:
+                continue
+            if directory is None:
+                directory = ds.dataset(f"{base}/directory", filesystem=fs, format="parquet")
+            near = directory.to_table(filter=(ds.field("first_key") <= wanted[-1]) & (ds.field("last_key") >= wanted[0]))
+            near = near.sort_by([(c, "ascending") for c in ("first_key", "last_key", "file", "offset")])
+            starts, ends = near.column("first_key").to_pylist(), near.column("last_key").to_pylist()
+            at = [(i, k) for k in wanted for i in _blocks_of(k, starts, ends)]
+            rows = near.take(pa.array([i for i, _ in at], pa.int64())).select(["file", "offset", "length"])
+            yield from rows.append_column("key", pa.array([k for _, k in at], pa.string())).to_batches()
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = file_system(folder)
+        opened, block, keys = None, [], []
+        for batch in batches:
+            out: dict[str, list] = {"file": [], "offset": [], "length": []}
+            for file, offset, length, key in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if opened != (file, offset):
+                    block, opened = _lines(_range(fs, f"{base}/index/{file}", offset, length)), (file, offset)
+                    keys = [x[0] for x in block]
+                for line in block[_between(keys, key, key)]:
+                    out["file"].append(line[3])
+                    out["offset"].append(int(line[4]))
+                    out["length"].append(int(line[5]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+
+    found = keys.select("key").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(blocks, "file string, offset bigint, length bigint, key string")
+    return found.repartition("file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(lines, "file string, offset bigint, length bigint")
+
+
+def read(spark: SparkSession, folder: str, urls: DataFrame, url_col: str = "url", payloads: bool = False) -> DataFrame:
+    """The records of URLs: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+    return _records(stage(locate(spark, folder, keys_of(urls, url_col)), "places"), folder, payloads)
+
+
 def read_all(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """Every record that the index names: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
-    directory = spark.read.parquet(f"{folder}/directory")
+    """Every record that the index names, with the columns of read()."""
     ship_package(spark)
 
     def entries(batch: pa.RecordBatch) -> dict:
@@ -213,10 +273,15 @@ def read_all(spark: SparkSession, folder: str, payloads: bool = False) -> DataFr
                 out["length"].append(int(line[5]))
         return out
 
-    found = map_arrow(directory.select("file", "offset", "length"), entries, "file string, offset bigint, length bigint")
+    directory = spark.read.parquet(f"{folder}/directory")
+    return _records(stage(map_arrow(directory.select("file", "offset", "length"), entries, "file string, offset bigint, length bigint"), "places"), folder, payloads)
+
+
+def _records(places: DataFrame, folder: str, payloads: bool) -> DataFrame:
     # Neighbours in an archive go to one task, large archives to several.
-    stretch = F.floor(F.col("offset") / F.lit(16 << 20))
-    found = found.repartition("file", stretch).sortWithinPartitions("file", "offset")
+    stretch = F.floor(F.col("offset") / F.lit(READ_BYTES))
+    tasks = max(1, -(-int(places.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    found = places.repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", *["payload"] * payloads]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -420,14 +420,15 @@ def test_warc(spark, tmp_path):
         data = (h or "").encode()
         keep = last[h or ""]
         expected.append((i, len(data), warc.payload_digest(data), "response" if keep == i else "revisit", None if keep == i else keep))
-    assert rows(warc.read_all(spark, folder), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(expected, key=repr)
+    for got in (warc.read_all(spark, folder), warc.read(spark, folder, df)):
+        assert rows(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(expected, key=repr)
     assert [r["page_id"] for r in warc.lookup(spark, folder, "https://b.com/x")] == [1, 7]
     assert warc.lookup(spark, folder, "http://b.com/x")[0]["payload"] == "<p>é</p>".encode()
     assert warc.lookup(spark, folder, "http://nowhere.com/") == []
     members = b"".join(p.read_bytes() for p in sorted((tmp_path / "w/archives").iterdir()))
     assert gzip.decompress(members).count(b"WARC/1.1\r\n") == len(page)
     warc.write(df.where("false"), f"{folder}-none")
-    assert warc.read_all(spark, f"{folder}-none").count() == 0
+    assert warc.read_all(spark, f"{folder}-none").count() == warc.read(spark, f"{folder}-none", df).count() == 0
 
 
 def test_small_payloads_are_responses(spark, tmp_path):
@@ -436,12 +437,27 @@ def test_small_payloads_are_responses(spark, tmp_path):
     assert rows(warc.read_all(spark, f"file://{tmp_path}/w"), "page_id", "refers_to") == [(1, None), (2, None), (3, 4), (4, None)]
 
 
+def test_lookups_of_odd_urls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    urls = [f"http://h.com/a{c}b" for c in (" ", "!", "%", "%20", "\t", "~", "é", "\x7f", "", "#", '"')] + ["http://h.com/a b/c", "http://[bad", "", None, "http://h.com:80/a!b"]
+    df = spark.createDataFrame([*enumerate(urls)], "page_id bigint, url string").withColumn("html", F.col("page_id").cast("string"))
+    folder = f"file://{tmp_path}/w"
+    warc.write(df, folder)
+    assert rows(warc.read(spark, folder, df), "page_id") == sorted(((i,) for i in range(len(urls))), key=repr)
+    for i, url in enumerate(urls):
+        key = warc._field(warc.url_key(url or ""))
+        same = [k for k, u in enumerate(urls) if warc._field(warc.url_key(u or "")) == key]
+        assert [r["page_id"] for r in warc.lookup(spark, folder, url or "")] == same and i in same
+        assert rows(warc.read(spark, folder, df.where(f"page_id = {i}")), "page_id") == sorted(((k,) for k in same), key=repr) if i < 3 else True
+
+
 def test_index_runs_over_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 2)
     df = spark.createDataFrame([(i, f"http://h.com/{i % 3}", str(i)) for i in range(20)], "page_id bigint, url string, html string")
     warc.write(df, f"file://{tmp_path}/w")
     for k in range(3):
         assert [r["page_id"] for r in warc.lookup(spark, f"file://{tmp_path}/w", f"http://h.com/{k}")] == [i for i in range(20) if i % 3 == k]
+    assert warc.read(spark, f"file://{tmp_path}/w", df.where("page_id < 2")).count() == 14
 
 
 def test_template_is_reversible():
