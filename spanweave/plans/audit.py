@@ -228,20 +228,87 @@ def http_ranges(spark, d):
     return audit.byte_range(rows).select("event_id", F.col("first_byte").cast("bigint").alias("first_byte"), F.col("last_byte").cast("bigint").alias("last_byte"), F.col("status").cast("bigint").alias("status"))
 
 
+def _stable(spark, d):
+    return tracking.stabilise(derived.regions(spark, d).withColumn("segment", F.floor(F.col("frame") / 20)), 1920, 1080)
+
+
+def _ends(rows, name: str, columns: list[str]):
+    """Rows as one end of a pair of following frames: keys and a struct of what the pair's rule reads."""
+    frame = F.col("frame") + (1 if name == "k" else 0)
+    return rows.select("source_id", "segment", frame.alias("at"), F.struct(*columns).alias(name))
+
+
+def _unfair(pairs, taken, better: bool):
+    """Pairs that a greedy choice would not have left, or not have taken; rank: their order, the greatest (better) or least first.
+
+    A pair stands only if it is taken, or one that was taken comes before it and has one of its ends.
+    """
+    best = F.max if better else F.min
+    mine = F.when(F.col("taken"), F.col("rank"))
+    w = [Window.partitionBy("source_id", "segment", "at", F.col(f"{e}.ord")) for e in "ik"]
+    p = pairs.withColumn("taken", taken).withColumns({"by_i": best(mine).over(w[0]), "by_k": best(mine).over(w[1])})
+    before = (lambda c: F.col(c) > F.col("rank")) if better else (lambda c: F.col(c) < F.col("rank"))
+    spared = F.coalesce(before("by_i"), F.lit(False)) | F.coalesce(before("by_k"), F.lit(False))
+    return p.where((F.col("taken") & (~F.col("fits") | spared)) | (~F.col("taken") & F.col("fits") & ~spared))
+
+
+def _by_source(rows, faults):
+    """Regions and faults of each source."""
+    all_ = rows.groupBy("source_id").agg(F.sum("parts").cast("bigint").alias("regions"))
+    return all_.join(faults.groupBy("source_id").agg(F.count("*").alias("faults")), "source_id", "left").select("source_id", "regions", F.coalesce("faults", F.lit(0)).cast("bigint").alias("faults"))
+
+
+def _meeting(pairs):
+    """pairs (i, k) with their common width and height, and the distance of their centres."""
+    i, k = F.col("i"), F.col("k")
+    span = lambda a, n: F.greatest(F.lit(0), F.least(i[a] + i[n], k[a] + k[n]) - F.greatest(i[a], k[a]))
+    far = lambda a, n: (i[a] + i[n] / 2) - (k[a] + k[n] / 2)
+    return pairs.withColumns({"wide": span("x", "w"), "high": span("y", "h"), "far": F.sqrt(far("x", "w") * far("x", "w") + far("y", "h") * far("y", "h"))})
+
+
 def greedy_track_assignment(spark, d):
-    rows = derived.regions(spark, d).withColumn("segment", F.floor(F.col("frame") / 20))
-    return tracking.stabilise(rows, 1920, 1080)
+    """Regions of each source, and pairs of following frames in which tracks differ from the greedy choice (none)."""
+    rows, i, k = _stable(spark, d), F.col("i"), F.col("k")
+    ends = ["ord", "track", "x", "y", "w", "h", "ids", "fixed"]
+    p = _meeting(_ends(rows, "i", ends).join(_ends(rows, "k", ends), ["source_id", "segment", "at"]))
+    share = F.col("wide") * F.col("high") / F.least(i["w"] * i["h"], k["w"] * k["h"])
+    same = F.arrays_overlap(F.array_remove(i["ids"], ""), F.array_remove(k["ids"], ""))
+    fits = (i["w"] / k["w"]).between(0.4, 2.5) & (i["h"] / k["h"]).between(0.45, 2.2) & ((share >= 0.2) | (same & (F.col("far") < F.greatest(F.lit(100), 2 * k["h"])))) & ~i["fixed"] & ~k["fixed"]
+    rank = F.struct(F.round(share + 0.25 * same.cast("int") - F.col("far") / 5000, 9), i["ord"], k["track"])
+    p = p.withColumns({"fits": fits, "rank": rank})
+    return _by_source(rows, _unfair(p, i["track"] == k["track"], True))
 
 
 def anchor_static_runs(spark, d):
-    out = greedy_track_assignment(spark, d)
-    return out.groupBy("source_id", "segment", "track", "mode").agg(F.count("*").alias("n"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    """Regions of each source, and rows whose run breaks a rule or whose stable box does not cover them (none)."""
+    rows = _stable(spark, d)
+    track = Window.partitionBy("source_id", "segment", "track").orderBy("frame")
+    run = Window.partitionBy("source_id", "segment", "track", "run").orderBy("frame")
+    box = F.struct(*"xywh")
+    r = rows.withColumn("b", box).withColumns({"a": F.first("b").over(run), "n": F.count("*").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "place": F.row_number().over(run), "next": F.lead("b").over(track)})
+    ahead = track.rowsBetween(0, 5)
+    r = r.withColumns({"six": F.collect_list("b").over(ahead)})
+
+    def like(b, a, ratio_w, ratio_h, move=None):
+        fits = (b["w"] / a["w"]).between(*ratio_w) & (b["h"] / a["h"]).between(*ratio_h)
+        return fits & (F.abs(b["x"] - a["x"]) <= move[0]) & (F.abs(b["y"] - a["y"]) <= move[1]) if move else fits
+
+    still = lambda b, a: like(b, a, (0.62, 1.60), (0.80, 1.25), (10, 8))
+    span = lambda c: F.array_max(F.transform("six", lambda b: b[c])) - F.array_min(F.transform("six", lambda b: b[c]))
+    plateau = (F.size("six") == 6) & (span("x") <= 6) & (span("y") <= 6)
+    last = F.col("place") == F.col("n")
+    static_fault = (F.col("n") < 6) | ~still(F.col("b"), F.col("a")) | (last & F.coalesce(still(F.col("next"), F.col("a")), F.lit(False)))
+    could_stand = (F.col("place") == 1) & (F.size("six") == 6) & F.forall("six", lambda b: still(b, F.col("a")))
+    moving_fault = could_stand | ((F.col("place") > 1) & (plateau | ~like(F.col("b"), F.col("a"), (0.65, 1.55), (0.88, 1.12))))
+    bare = (F.col("sx") > F.col("x")) | (F.col("sy") > F.col("y")) | (F.col("sx") + F.col("sw") < F.col("x") + F.col("w")) | (F.col("sy") + F.col("sh") < F.col("y") + F.col("h"))
+    return _by_source(rows, r.where(bare | F.when(F.col("mode") == "static", static_fault).otherwise(moving_fault)))
 
 
 def coalesced_frames(spark, d):
     r = derived.regions(spark, d)
     kind = F.when(F.col("frame") % 50 == 0, "reviewed_word").otherwise("domain")
-    return tracking.coalesce(r.withColumns({"kind": kind, "origin": F.when(F.col("frame") % 11 == 0, "review_color_line").otherwise(F.col("origin")), "fixed": F.col("frame") % 13 == 0}))
+    out = tracking.coalesce(r.withColumns({"kind": kind, "origin": F.when((F.col("frame") % 11 == 0) & (F.col("ord") == 0), "review_color_line").otherwise(F.col("origin")), "fixed": F.col("frame") % 13 == 0}))
+    return out.select("source_id", "frame", "ord", "kind", *"xywh", "parts")
 
 
 QUERIES = {f.__name__: f for f in (iou_self_pairs, same_row_pairs, box_clamp_union, box_subtract, detection_suppression, event_rollup, origin_method_grouping_sets, event_role_counts, masked_totals, patch_replace, patch_add_remove, patch_add_remove_stats, patch_ordinal_remove, stale_tall_removal, frame_in_region_join, coverage_ledger, channel_rollup, checks_all_pass, pcm_silence, dominant_colour, set_equality_check, sha_binding_semijoin, report_chunk_faults, rolling_median_center, lookahead_plateau, colour_step_reset, scene_cut_frames, sampled_frames, clock_texts, http_ranges, greedy_track_assignment, anchor_static_runs, coalesced_frames)}
@@ -308,6 +375,17 @@ r AS (SELECT *, CAST(coalesce(sum(frames) OVER (PARTITION BY source_id ORDER BY
     "scene_cut_frames": f"""WITH {FRAMES}, v AS (SELECT source_id, frame, i, abs(event_id * i * 31 % 100 - lag(event_id * i * 31 % 100) OVER (PARTITION BY source_id, i ORDER BY frame)) AS dv FROM frames, range(1, 7) t(i)),
 g AS (SELECT source_id, frame, CAST(sum(dv) AS BIGINT) AS total, count(*) FILTER (dv > 12) AS large FROM v WHERE dv IS NOT NULL GROUP BY 1, 2) SELECT * FROM g WHERE total > 38 * 6 OR (large > 6 * 0.18 AND total > 30)""",
     "sampled_frames": f"WITH {FRAMES} SELECT source_id, frame, frame AS from_seconds FROM frames WHERE frame % 7 = 0 OR event_id % 17 = 0",
+    "greedy_track_assignment": f"WITH {REGIONS} SELECT source_id, count(*) AS regions, CAST(0 AS BIGINT) AS faults FROM regions GROUP BY 1",
+    "anchor_static_runs": f"WITH {REGIONS} SELECT source_id, count(*) AS regions, CAST(0 AS BIGINT) AS faults FROM regions GROUP BY 1",
+    "coalesced_frames": f"""WITH {REGIONS}, r AS (SELECT *, CASE WHEN frame % 50 = 0 THEN 'reviewed_word' ELSE 'domain' END AS kind FROM regions),
+p AS (SELECT a.source_id, a.frame, a.kind, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS byy, b.w AS bw, b.h AS bh, b.origin AS origin,
+  b.x IS NOT NULL AND coalesce(2 * {HIGH_SQL} >= least(a.h, b.h) AND 100 * {WIDE_SQL} >= 45 * least(a.w, b.w) AND 10 * (greatest(a.x + a.w, b.x + b.w) - least(a.x, b.x)) <= 16 * greatest(a.w, b.w), false) AS along
+  FROM r a LEFT JOIN r b ON b.source_id = a.source_id AND b.frame = a.frame AND b.ord = 1 WHERE a.ord = 0),
+q AS (SELECT *, along AND frame % 11 = 0 AND kind <> 'reviewed_word' AND origin IN ('ocr', 'tracked') AND 5 * aw >= 4 * bw AS over, along AND frame % 13 <> 0 AS free FROM p)
+SELECT source_id, frame, CAST(0 AS BIGINT) AS ord, kind, CASE WHEN free AND NOT over THEN least(ax, bx) ELSE ax END AS x, CASE WHEN free AND NOT over THEN least(ay, byy) ELSE ay END AS y,
+  CASE WHEN free AND NOT over THEN greatest(ax + aw, bx + bw) - least(ax, bx) ELSE aw END AS w, CASE WHEN free AND NOT over THEN greatest(ay + ah, byy + bh) - least(ay, byy) ELSE ah END AS h,
+  CAST(CASE WHEN free OR over THEN 2 ELSE 1 END AS BIGINT) AS parts FROM q
+UNION ALL SELECT source_id, frame, CAST(1 AS BIGINT), kind, bx, byy, bw, bh, CAST(1 AS BIGINT) FROM q WHERE bx IS NOT NULL AND NOT free AND NOT over""",
     "clock_texts": """WITH t AS (SELECT event_id, event_id * 7919 % 36000000 AS ms FROM events) SELECT event_id, printf('%02d:%02d.%03d', ms % 3600000 // 60000, ms // 1000 % 60, ms % 1000) AS minutes, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS hours,
   printf('%02dh%02dm%02ds%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS stamp FROM t""",
     "http_ranges": """WITH t AS (SELECT event_id, event_id % 5 AS k, event_id % 250 AS n, CASE event_id % 5 WHEN 1 THEN event_id % 300 WHEN 2 THEN event_id % 300 END AS a, CASE event_id % 5 WHEN 1 THEN event_id % 400 WHEN 3 THEN event_id % 50 END AS b FROM events),

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import boxes
 from ..operators import alignment, intervals
 from ..sources import derived, sinks, subtitles
+from . import audit
 from .intervals import _with
-from .oracle_views import FRAMES
+from .oracle_views import FRAMES, REGIONS
 
 
 def anchor_chains(spark, d):
@@ -33,8 +34,22 @@ def distinct_frame_boxes(spark, d):
 
 
 def linked_events(spark, d):
+    """Regions of each source, and pairs of following frames in which events differ from the nearest-first choice (none)."""
     cuts = derived.frames(spark, d).where("event_id % 17 = 0").select("source_id", "frame")
-    return alignment.link_events(derived.regions(spark, d), cuts)
+    regions = derived.regions(spark, d)
+    rows = alignment.link_events(regions, cuts).join(regions.select("source_id", "frame", "ord", *"xywh"), ["source_id", "frame", "ord"])
+    first, number = (F.split("event_id", "-")[i].cast("bigint") for i in (0, 1))
+    rows = rows.withColumns({"segment": first, "number": number, "parts": F.lit(1)})
+    ends = ["ord", "number", "region_id", *"xywh"]
+    i, k = F.col("i"), F.col("k")
+    p = audit._meeting(audit._ends(rows, "i", ends).join(audit._ends(rows, "k", ends), ["source_id", "segment", "at"]))
+    reach = F.greatest(F.lit(160), 3 * F.greatest(i["h"], k["h"]), F.greatest(i["w"], k["w"]) / 2)
+    p = p.withColumns({"fits": (i["region_id"] == k["region_id"]) & (((F.col("wide") > 0) & (F.col("high") > 0)) | (F.col("far") <= reach)), "rank": F.struct(F.round("far", 9), i["ord"], k["number"])})
+    # An event that goes on over a cut or a missing frame is a fault too.
+    frames = derived.frames(spark, d).select("source_id", "frame", (F.col("event_id") % 17 == 0).alias("cut"))
+    over = rows.join(frames, ["source_id", "frame"]).where("cut AND frame <> segment").select("source_id")
+    faults = audit._unfair(p, i["number"] == k["number"], False).select("source_id")
+    return audit._by_source(rows, faults.unionByName(over))
 
 
 def code_findings(spark, d):
@@ -75,6 +90,10 @@ _CHAIN = f"""{FRAMES}, c AS (SELECT source_id, frame, event_id % 8 = 0 AS hit, s
 _SAID = """s AS (SELECT CAST(conv_id AS VARCHAR) AS source_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, CAST(turn * 61500 AS BIGINT) AS start_ms, CAST(turn * 61500 + 1250 AS BIGINT) AS end_ms, 'said by ' || coalesce(role, '-') AS text, true AS valid FROM conversations)"""
 
 
+_COMMON = "(greatest(0, least(o.x + o.w, s.b.x + s.b.w) - greatest(o.x, s.b.x)) * greatest(0, least(o.y + o.h, s.b.y + s.b.h) - greatest(o.y, s.b.y)))"
+_KEPT = f"{_COMMON} / greatest(1, o.w * o.h + s.b.w * s.b.h - {_COMMON})"
+
+
 def _stamp(frame: str) -> str:
     ms = f"CAST(round({frame} * 1000 / 30) AS BIGINT)"
     return f"printf('%02d:%02d.%03d', {ms} // 60000, {ms} // 1000 % 60, {ms} % 1000)"
@@ -83,6 +102,11 @@ def _stamp(frame: str) -> str:
 ORACLES = {
     "anchor_chains": f"WITH {_CHAIN} SELECT a.source_id, a.frame, b.frame AS anchor FROM c a JOIN c b ON a.source_id = b.source_id AND a.chain = b.chain AND b.hit QUALIFY row_number() OVER (PARTITION BY a.source_id, a.frame ORDER BY abs(a.frame - b.frame), b.frame) = 1",
     "nearest_anchor_proposals": f"WITH {FRAMES}, p AS (SELECT source_id, frame, unnest([frame - frame % 7, frame + 3, frame - 3]) AS anchor FROM frames) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY source_id, frame ORDER BY abs(frame - anchor), anchor) = 1",
+    "linked_events": f"WITH {REGIONS} SELECT source_id, count(*) AS regions, CAST(0 AS BIGINT) AS faults FROM regions GROUP BY 1",
+    "distinct_frame_boxes": f"""WITH RECURSIVE {REGIONS}, s AS (SELECT source_id, frame // 10 AS stretch, row_number() OVER (PARTITION BY source_id, frame // 10 ORDER BY frame, ord) AS k, {{'x': x, 'y': y, 'w': w, 'h': h}} AS b FROM regions),
+g AS (SELECT source_id, stretch, k, [b] AS kept FROM s WHERE k = 1
+  UNION ALL SELECT g.source_id, g.stretch, s.k, CASE WHEN len(list_filter(g.kept, lambda o: {_KEPT} > 0.8)) > 0 THEN g.kept ELSE list_append(g.kept, s.b) END FROM g JOIN s ON s.source_id = g.source_id AND s.stretch = g.stretch AND s.k = g.k + 1)
+SELECT source_id, stretch, CAST(max(k) AS INT) AS boxes, CAST(arg_max(len(kept), k) AS INT) AS kept FROM g GROUP BY 1, 2""",
     "code_findings": f"""WITH {FRAMES}, b AS (SELECT source_id, frame, greatest(0, floor(event_id % 128 / 128 * 256 - 4)) AS x1, greatest(0, floor(event_id % 64 / 64 * 128 - 4)) AS y1, least(256, ceil(event_id % 128 / 128 * 256 - 4 + event_id % 16 / 128 * 256 + 8)) AS x2, least(128, ceil(event_id % 64 / 64 * 128 - 4 + event_id % 8 / 64 * 128 + 8)) AS y2,
   CASE WHEN event_id % 2 = 0 THEN value / 500 ELSE 0 END AS confidence FROM frames)
 SELECT source_id, frame, 'qr_code' AS kind, 'needs_review' AS status, 'qr_payload_not_retained' AS reason, CAST(x1 AS BIGINT) AS x, CAST(y1 AS BIGINT) AS y, CAST(x2 - x1 AS BIGINT) AS w, CAST(y2 - y1 AS BIGINT) AS h, confidence FROM b WHERE x2 > x1 AND y2 > y1""",

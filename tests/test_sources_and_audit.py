@@ -1,7 +1,10 @@
 """Subtitles, reports, patches, audit, tracking and the stream, on small tables."""
 
 import json
+import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,14 +78,88 @@ def test_silence_is_exact(spark):
 
 
 def test_tracks_and_runs():
-    still = [(100, 50, 40, 20)] * 8
+    still = np.array([(100, 50, 40, 20)] * 8)
     assert list(tracking.track_runs(still)) == [("static", 0, 8)]
-    moving = [(100 + 20 * i, 50, 40, 20) for i in range(5)]
-    assert list(tracking.track_runs(moving + [(190, 50, 40, 20)] * 6)) == [("moving", 0, 5), ("static", 5, 11)]
+    moving = np.array([(100 + 20 * i, 50, 40, 20) for i in range(5)])
+    assert list(tracking.track_runs(np.concatenate([moving, [(190, 50, 40, 20)] * 6]))) == [("moving", 0, 5), ("static", 5, 11)]
     for mode, a, b in tracking.track_runs(moving):
         for box, wide in zip(moving[a:b], tracking.envelope(moving[a:b], mode, 400, 400), strict=True):
             assert wide[0] <= box[0] and wide[0] + wide[2] >= box[0] + box[2]
-    assert tracking.coalesce_frame([(0, 0, 10, 10), (5, 0, 10, 10), (50, 50, 5, 5)], ["d"] * 3, ["ocr"] * 3, [False] * 3)[0][0] == (0, 0, 15, 10)
+
+
+def joined(boxes, word=(), fixed=(), trusted=(), detected=()):
+    flags = [np.isin(np.arange(len(boxes)), x) for x in (word, fixed, trusted, detected)]
+    return [(tuple(b.tolist()), j, u) for b, j, u in tracking.join_frame(np.array(boxes), *flags)]
+
+
+def test_boxes_of_a_frame_are_joined_along_rows():
+    three = [(0, 0, 10, 10), (5, 0, 10, 10), (50, 50, 5, 5)]
+    assert joined(three) == [((0, 0, 15, 10), [0, 1], []), ((50, 50, 5, 5), [2], [])]
+    assert joined(three, fixed=[1]) == [(b, [k], []) for k, b in enumerate(three)]
+    assert joined(three, word=[0]) == [(b, [k], []) for k, b in enumerate(three)]
+    # A trusted row takes the place of a detected one that it spans; a word never gives way.
+    assert joined(three, trusted=[1], detected=[0, 2]) == [((5, 0, 10, 10), [1], [0]), ((50, 50, 5, 5), [2], [])]
+    assert joined([(0, 0, 10, 10), (0, 0, 30, 10)], trusted=[0], detected=[1]) == [((0, 0, 30, 10), [0, 1], [])]
+    assert len(joined(three, trusted=[1], detected=[0], word=[0])) == 3
+    # What was joined may lie on a row with a third.
+    assert joined([(0, 0, 10, 10), (8, 0, 10, 10), (5, 0, 10, 10)]) == [((0, 0, 18, 10), [0, 2, 1], [])]
+
+
+def brute_tracks(frames):
+    """Greedy association by its definition, over lists of (frame, box, ids, word, fixed, caption)."""
+    out, live, n = [], [], 0
+    for at, rows in frames:
+        live = [x for x in live if x[0] == at - 1]
+        pairs = []
+        for i, (b, ids, *flags) in enumerate(rows):
+            for _, track, old, names, *before in live:
+                common = max(0, min(b[0] + b[2], old[0] + old[2]) - max(b[0], old[0])) * max(0, min(b[1] + b[3], old[1] + old[3]) - max(b[1], old[1]))
+                share, far = common / min(b[2] * b[3], old[2] * old[3]), math.dist((b[0] + b[2] / 2, b[1] + b[3] / 2), (old[0] + old[2] / 2, old[1] + old[3] / 2))
+                same = bool(ids & names)
+                if flags[1] or before[1] or flags[0] != before[0] or flags[2] != before[2] or not (0.4 <= b[2] / old[2] <= 2.5 and 0.45 <= b[3] / old[3] <= 2.2):
+                    continue
+                if share >= 0.2 or (same and far < max(100, 2 * old[3])):
+                    pairs.append((share + 0.25 * same - far / 5000, i, track))
+        got = {}
+        while pairs:
+            best = max(pairs)
+            got[best[1]] = best[2]
+            pairs = [p for p in pairs if p[1] != best[1] and p[2] != best[2]]
+        now = []
+        for i, row in enumerate(rows):
+            if i not in got:
+                got[i], n = n, n + 1
+            now.append((at, got[i], *row))
+        out.append([x[1] for x in now])
+        live = now
+    return out
+
+
+def test_association_equals_brute_force():
+    rng = random.Random(3)
+    for _ in range(60):
+        frames, at = [], 0
+        for _ in range(12):
+            at += rng.choice([1, 1, 1, 2])
+            rows = [((rng.randrange(0, 160, 8), rng.randrange(0, 60, 6), rng.randrange(10, 60, 5), rng.randrange(8, 30, 3)), frozenset(rng.sample(["a", "b", "c"], rng.randint(0, 2))), rng.random() < 0.2, rng.random() < 0.1, rng.random() < 0.2) for _ in range(rng.randint(1, 6))]
+            frames.append((at, rows))
+        state = tracking.Tracks()
+        got = [state.step(at, np.array([r[0] for r in rows]), [r[1] for r in rows], *(np.array([r[k] for r in rows]) for k in (2, 3, 4))).tolist() for at, rows in frames]
+        assert got == brute_tracks(frames)
+
+
+def test_stable_boxes_keep_the_rules(spark):
+    rows = [(1, 0, f, 0, "a", 100 + f % 3, 50, 40, 20, "domain", False) for f in range(9)] + [(1, 0, f, 1, "b", 300, 50, 40, 20, "reviewed_word", False) for f in range(9)]
+    rows += [(1, 0, f, 2, "c", 500 + f % 2, 50, 40, 20, "reviewed_path", None) for f in range(9)] + [(2, 0, f, 0, None, 10, 10, 0 + 9, 9, None, None) for f in (0, 1, 3)]
+    df = spark.createDataFrame(rows, "source_id bigint, segment bigint, frame bigint, ord bigint, region_id string, x bigint, y bigint, w bigint, h bigint, kind string, fixed boolean")
+    out = {(r.source_id, r.frame, r.ord): r for r in tracking.stabilise(df, 640, 360).collect()}
+    assert len(out) == 30
+    assert {(r.sx, r.sw, r["mode"], r.paint_order) for k, r in out.items() if k[0] == 1 and k[2] == 0} == {(100, 42, "static", 0)}
+    assert {r.paint_order for k, r in out.items() if k[2] == 1} == {1}
+    assert all((r.sx, r.sw) == (r.x, r.w) for k, r in out.items() if k[2] == 2)  # bounds stay, and no track goes on
+    assert len({r.track for k, r in out.items() if k[0] == 1 and k[2] == 2}) == 9 and len({r.track for k, r in out.items() if k[0] == 2}) == 2
+    stats = {r.source_id: r for r in tracking.statistics(tracking.stabilise(df, 640, 360)).collect()}
+    assert (stats[1].tracks, stats[1].static_runs, stats[1].source_regions, stats[2].moving_runs) == (11, 2, 27, 2)
 
 
 def test_backfill_rules(spark):
