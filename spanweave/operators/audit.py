@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import scratch_dir
+
 STATUSES = ("mask", "needs_review", "keep")
 
 
@@ -16,9 +18,21 @@ def status_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def pending(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows that are not kept, numbered R000001 on. Numbers follow one order, so the sort is global."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return rows.where("status <> 'keep'").withColumn("finding_id", F.format_string("R%06d", n))
+    """Rows that are not kept, numbered R000001 on in one order of all.
+
+    Rows are sorted in ranges and staged with their place within them; a range's offset is the sum of those before it,
+    so no task holds more than a range.
+    """
+    spark = rows.sparkSession
+    path = f"{scratch_dir(spark)}/pending"
+    # The identity counts up within a partition; its number is in the bits above.
+    rows.where("status <> 'keep'").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path).withColumns({"__range": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__range", before.alias("__before"))
+    numbered = placed.join(F.broadcast(offsets), "__range")  # a row for each range
+    return numbered.withColumn("finding_id", F.format_string("R%06d", F.col("__before") + F.col("__at") + 1)).drop("__range", "__at", "__before")
 
 
 def event_rollup(regions: DataFrame, keys: list[str]) -> DataFrame:

@@ -131,14 +131,18 @@ def frame_mapping(entries: DataFrame, key: str) -> DataFrame:
     return out.select(key, "segment", "segment_frame", (F.col("collection_start") + F.col("segment_frame")).alias("collection_frame"), (F.col("start") + F.col("segment_frame")).alias("source_frame"))
 
 
-def keyframe_windows(frames: DataFrame, keyframes: DataFrame, key: str, end: int) -> DataFrame:
-    """What to encode anew: for each changed frame the range between the keyframes around it, touching ranges joined."""
+def keyframe_windows(frames: DataFrame, keyframes: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """What to encode anew: for each changed frame the range between the keyframes around it, touching ranges joined.
+
+    sources: key, n_frames; after its last keyframe a source's range goes to its end.
+    """
     both = keyframes.select(key, "frame", F.lit(0).alias("side")).unionByName(frames.select(key, "frame", F.lit(1).alias("side")))
     w = Window.partitionBy(key).orderBy("frame", "side")
     k = F.when(F.col("side") == 0, F.col("frame"))
     start = F.max(k).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.min(k).over(w.rowsBetween(1, Window.unboundedFollowing))
-    placed = both.withColumn("start", F.coalesce(start, F.lit(0))).withColumn("end", F.coalesce(after, F.lit(end))).where("side = 1")
+    placed = both.withColumns({"start": F.coalesce(start, F.lit(0)), "after": after}).where("side = 1").join(sources.select(key, "n_frames"), key)
+    placed = placed.withColumn("end", F.coalesce("after", "n_frames"))
     return merge_gaps(placed.select(key, F.col("start").cast("bigint"), F.col("end").cast("bigint")).distinct(), [key], 0)
 
 

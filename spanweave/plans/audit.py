@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes, clock
 from ..operators import audit, patches, tracking
 from ..sources import derived
+from . import intervals
 from .oracle_views import EVENTS, FRAMES, REGIONS
 
 IOU_SQL = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
@@ -46,8 +47,8 @@ def box_clamp_union(spark, d):
 
 
 def box_subtract(spark, d):
-    p = _pairs(spark, d, True).where("ord = 0 AND other = 0")
-    return p.select("source_id", "frame", F.explode(boxes.subtract(F.col("a"), F.col("b"))).alias("p")).select("source_id", "frame", *[F.col(f"p.{k}").alias(f"p{k}") for k in "xywh"])
+    p = _pairs(spark, d, True)
+    return p.select("source_id", "frame", "ord", "other", F.explode(boxes.subtract(F.col("a"), F.col("b"))).alias("p")).select("source_id", "frame", "ord", "other", *[F.col(f"p.{k}").alias(f"p{k}") for k in "xywh"])
 
 
 def detection_suppression(spark, d):
@@ -168,7 +169,9 @@ def set_equality_check(spark, d):
 
 def sha_binding_semijoin(spark, d):
     docs = derived.table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
-    return patches.bound_by_hash(docs, docs.where("doc_id % 7 = 0"))
+    # What was approved: each seventh text as it is, the others before a change.
+    approved = derived.table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 7 == 0, "").otherwise("!")), 256).alias("sha256"))
+    return patches.bound_by_hash(docs, approved)
 
 
 def report_chunk_faults(spark, d):
@@ -195,7 +198,7 @@ def lookahead_plateau(spark, d):
 def colour_step_reset(spark, d):
     """Where the smoothing of a fill colour starts anew: gaps, segments and jumps of more than 40."""
     w = Window.partitionBy("source_id").orderBy("frame")
-    f = derived.frames(spark, d).where("event_id % 9 <> 0").withColumn("c", F.floor("value").cast("bigint"))
+    f = derived.frames(spark, d).withColumns({"c": F.floor("value").cast("bigint"), "frame": intervals.gapped(F.col("frame"))})
     new = F.lag("frame").over(w).isNull() | (F.col("frame") != F.lag("frame").over(w) + 1) | (F.abs(F.col("c") - F.lag("c").over(w)) > 40)
     return f.select("source_id", "frame", new.alias("resets"))
 
@@ -325,11 +328,11 @@ FROM regions a JOIN regions b ON a.source_id = b.source_id AND a.frame = b.frame
 WHERE 2 * {HIGH_SQL} >= least(a.h, b.h) AND 100 * {WIDE_SQL} >= 45 * least(a.w, b.w) AND 10 * (greatest(a.x + a.w, b.x + b.w) - least(a.x, b.x)) <= 16 * greatest(a.w, b.w)""",
     "box_clamp_union": f"""WITH {REGIONS}, c AS (SELECT source_id, greatest(0, floor(x - 120.5)) AS x1, greatest(0, floor(y - 205.25)) AS y1, least(60, ceil(x - 120.5 + w + 0.5)) AS x2, least(20, ceil(y - 205.25 + h)) AS y2 FROM regions)
 SELECT source_id, CAST(min(x1) AS BIGINT) AS ux, CAST(min(y1) AS BIGINT) AS uy, CAST(max(x2) - min(x1) AS BIGINT) AS uw, CAST(max(y2) - min(y1) AS BIGINT) AS uh, count(*) AS n FROM c WHERE x2 > x1 AND y2 > y1 GROUP BY source_id""",
-    "box_subtract": f"""WITH {REGIONS}, p AS (SELECT a.source_id, a.frame, a.x, a.y, a.w, a.h, greatest(a.x, b.x) AS l, least(a.x + a.w, b.x + b.w) AS r, greatest(a.y, b.y) AS t, least(a.y + a.h, b.y + b.h) AS u
-  FROM regions a JOIN regions b ON a.source_id = b.source_id AND b.frame = a.frame + 1 WHERE a.ord = 0 AND b.ord = 0), q AS (
-  SELECT source_id, frame, x AS px, y AS py, w AS pw, h AS ph FROM p WHERE NOT (r > l AND u > t)
-  UNION ALL SELECT source_id, frame, x, y, w, t - y FROM p WHERE r > l AND u > t UNION ALL SELECT source_id, frame, x, u, w, y + h - u FROM p WHERE r > l AND u > t
-  UNION ALL SELECT source_id, frame, x, t, l - x, u - t FROM p WHERE r > l AND u > t UNION ALL SELECT source_id, frame, r, t, x + w - r, u - t FROM p WHERE r > l AND u > t) SELECT * FROM q WHERE pw > 0 AND ph > 0""",
+    "box_subtract": f"""WITH {REGIONS}, p AS (SELECT a.source_id, a.frame, a.ord, b.ord AS other, a.x, a.y, a.w, a.h, greatest(a.x, b.x) AS l, least(a.x + a.w, b.x + b.w) AS r, greatest(a.y, b.y) AS t, least(a.y + a.h, b.y + b.h) AS u
+  FROM regions a JOIN regions b ON a.source_id = b.source_id AND b.frame = a.frame + 1), q AS (
+  SELECT source_id, frame, ord, other, x AS px, y AS py, w AS pw, h AS ph FROM p WHERE NOT (r > l AND u > t)
+  UNION ALL SELECT source_id, frame, ord, other, x, y, w, t - y FROM p WHERE r > l AND u > t UNION ALL SELECT source_id, frame, ord, other, x, u, w, y + h - u FROM p WHERE r > l AND u > t
+  UNION ALL SELECT source_id, frame, ord, other, x, t, l - x, u - t FROM p WHERE r > l AND u > t UNION ALL SELECT source_id, frame, ord, other, r, t, x + w - r, u - t FROM p WHERE r > l AND u > t) SELECT * FROM q WHERE pw > 0 AND ph > 0""",
     "detection_suppression": f"""WITH {REGIONS} SELECT a.source_id, a.frame, a.ord FROM regions a WHERE NOT EXISTS (SELECT 1 FROM regions b WHERE b.source_id = a.source_id AND b.frame = a.frame - 1 AND {IOU_SQL} / greatest(1, a.w * a.h + b.w * b.h - {IOU_SQL}) > 0.35)""",
     "event_rollup": f"""WITH {REGIONS}, c AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy FROM regions), s AS (SELECT *, coalesce(sqrt((cx - lag(cx) OVER k) ** 2 + (cy - lag(cy) OVER k) ** 2), 0) AS step FROM c WINDOW k AS (PARTITION BY source_id, region_id ORDER BY frame, ord)),
 g AS (SELECT source_id, region_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_regions, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(w) AS min_w, max(w) AS max_w, min(h) AS min_h, max(h) AS max_h,
@@ -366,12 +369,12 @@ SELECT source_id, channel, ['not_applicable', 'not_checked', 'checked', 'failed'
     "dominant_colour": f"""WITH {FRAMES}, p AS (SELECT source_id, event_id * 7 % 40 AS r, event_id * 11 % 24 AS g, event_id * 13 % 20 AS b FROM frames), q AS (SELECT source_id, CAST(r // 16 * 256 + g // 16 * 16 + b // 16 AS BIGINT) AS bin, count(*) AS n, median(r) AS r, median(g) AS g, median(b) AS b, sum(count(*)) OVER (PARTITION BY source_id) AS t FROM p GROUP BY 1, 2)
 SELECT source_id, bin, n, r, g, b FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY n DESC, bin) = 1) WHERE n >= 4 AND n >= 0.1 * t""",
     "set_equality_check": f"WITH {FRAMES}, a AS (SELECT source_id, frame FROM frames WHERE frame % 10 <> 3), b AS (SELECT source_id, frame FROM frames WHERE frame % 10 <> 7 OR source_id > 5) SELECT *, 'expected' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'found' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
-    "sha_binding_semijoin": "WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents) SELECT sha256, doc_id FROM d WHERE sha256 IN (SELECT sha256 FROM d WHERE doc_id % 7 = 0)",
+    "sha_binding_semijoin": "WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256, sha256(coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '!' END) AS a FROM documents) SELECT sha256, doc_id FROM d WHERE sha256 IN (SELECT a FROM d)",
     "report_chunk_faults": f"""WITH {FRAMES}, p AS (SELECT source_id, frame // 9 AS part, min(frame) AS s, count(*) AS frames FROM frames GROUP BY 1, 2), q AS (SELECT source_id, 'part-' || lpad(CAST(part AS VARCHAR), 3, '0') AS name, s + CASE WHEN part = 3 THEN source_id % 2 ELSE 0 END AS start_frame, frames FROM p),
 r AS (SELECT *, CAST(coalesce(sum(frames) OVER (PARTITION BY source_id ORDER BY start_frame, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS expected_start FROM q) SELECT * FROM r WHERE start_frame <> expected_start""",
     "rolling_median_center": f"WITH {REGIONS} SELECT source_id, frame, ord, quantile_cont(x + w / 2, 0.5) OVER k AS cx, quantile_cont(y + h / 2, 0.5) OVER k AS cy FROM regions WINDOW k AS (PARTITION BY source_id, region_id ORDER BY frame, ord ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
     "lookahead_plateau": f"WITH {REGIONS} SELECT source_id, frame, ord, count(*) OVER k = 6 AND max(x) OVER k - min(x) OVER k <= 6 AND max(y) OVER k - min(y) OVER k <= 6 AS plateau FROM regions WINDOW k AS (PARTITION BY source_id, region_id ORDER BY frame, ord ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)",
-    "colour_step_reset": f"WITH {FRAMES}, f AS (SELECT source_id, frame, floor(value) AS c FROM frames WHERE event_id % 9 <> 0) SELECT source_id, frame, lag(frame) OVER k IS NULL OR frame <> lag(frame) OVER k + 1 OR abs(c - lag(c) OVER k) > 40 AS resets FROM f WINDOW k AS (PARTITION BY source_id ORDER BY frame)",
+    "colour_step_reset": f"WITH {FRAMES}, f AS (SELECT source_id, frame + frame // 9 AS frame, floor(value) AS c FROM frames) SELECT source_id, frame, lag(frame) OVER k IS NULL OR frame <> lag(frame) OVER k + 1 OR abs(c - lag(c) OVER k) > 40 AS resets FROM f WINDOW k AS (PARTITION BY source_id ORDER BY frame)",
     "scene_cut_frames": f"""WITH {FRAMES}, v AS (SELECT source_id, frame, i, abs(event_id * i * 31 % 100 - lag(event_id * i * 31 % 100) OVER (PARTITION BY source_id, i ORDER BY frame)) AS dv FROM frames, range(1, 7) t(i)),
 g AS (SELECT source_id, frame, CAST(sum(dv) AS BIGINT) AS total, count(*) FILTER (dv > 12) AS large FROM v WHERE dv IS NOT NULL GROUP BY 1, 2) SELECT * FROM g WHERE total > 38 * 6 OR (large > 6 * 0.18 AND total > 30)""",
     "sampled_frames": f"WITH {FRAMES} SELECT source_id, frame, frame AS from_seconds FROM frames WHERE frame % 7 = 0 OR event_id % 17 = 0",

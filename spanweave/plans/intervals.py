@@ -102,20 +102,26 @@ def source_cut_inverse(spark, d):
     return rows.select("source_id", "source_frame", op.to_output(F.col("source_frame"), F.col("cuts")).alias("frame"))
 
 
+def gapped(frame):
+    """Frame numbers with a gap after each nine."""
+    return frame + F.floor(frame / 9).cast("bigint")
+
+
 def keyframe_asof_windows(spark, d):
     f = derived.frames(spark, d)
-    out = op.keyframe_windows(f.where("event_id % 13 = 0"), f.where("frame % 10 = 0"), "source_id", 1000)
+    ends = f.groupBy("source_id").agg(F.count("*").alias("n_frames"))
+    out = op.keyframe_windows(f.where("event_id % 13 = 0"), f.where("frame % 10 = 0"), ends, "source_id")
     return out.select("source_id", F.col("start").alias("start_frame"), F.col("end").alias("end_frame"))
 
 
 def segment_boundaries(spark, d):
-    f = derived.frames(spark, d).where("event_id % 9 <> 0")
+    f = derived.frames(spark, d).withColumn("frame", gapped(F.col("frame")))
     out = op.segments(f, "source_id", F.col("event_id") % 17 == 0)
     return out.select("source_id", F.col("segment").cast("bigint").alias("segment"), F.col("start").alias("start_frame"), F.col("end").alias("end_frame"), "n_frames")
 
 
 def frame_index_faults(spark, d):
-    return op.index_faults(derived.frames(spark, d).where("event_id % 9 <> 0"), "source_id")
+    return op.index_faults(derived.frames(spark, d).withColumn("frame", gapped(F.col("frame"))), "source_id")
 
 
 def interval_checkpoints(spark, d):
@@ -148,12 +154,12 @@ ORACLES = {
 SELECT source_id, sf AS source_frame, CASE WHEN EXISTS (SELECT 1 FROM cuts c WHERE c.source_id = f.source_id AND c.a <= f.sf AND f.sf < c.b) THEN NULL
   ELSE CAST(sf - coalesce((SELECT sum(len) FROM cuts c WHERE c.source_id = f.source_id AND c.a <= f.sf), 0) AS BIGINT) END AS frame FROM f""",
     "keyframe_asof_windows": f"""WITH {FRAMES}, sel AS (SELECT DISTINCT f.source_id, coalesce((SELECT max(k.frame) FROM frames k WHERE k.source_id = f.source_id AND k.frame % 10 = 0 AND k.frame <= f.frame), 0) AS s,
-  coalesce((SELECT min(k.frame) FROM frames k WHERE k.source_id = f.source_id AND k.frame % 10 = 0 AND k.frame > f.frame), 1000) AS e FROM frames f WHERE event_id % 13 = 0), {_gaps('sel', 0)}
+  coalesce((SELECT min(k.frame) FROM frames k WHERE k.source_id = f.source_id AND k.frame % 10 = 0 AND k.frame > f.frame), (SELECT count(*) FROM frames k WHERE k.source_id = f.source_id)) AS e FROM frames f WHERE event_id % 13 = 0), {_gaps('sel', 0)}
 SELECT source_id, s AS start_frame, e AS end_frame FROM merged""",
-    "segment_boundaries": f"""WITH {FRAMES}, f AS (SELECT *, lag(frame) OVER (PARTITION BY source_id ORDER BY frame) AS p FROM frames WHERE event_id % 9 <> 0),
+    "segment_boundaries": f"""WITH {FRAMES}, x AS (SELECT source_id, event_id, frame + frame // 9 AS frame FROM frames), f AS (SELECT *, lag(frame) OVER (PARTITION BY source_id ORDER BY frame) AS p FROM x),
 g AS (SELECT *, sum(CASE WHEN p IS NULL OR frame <> p + 1 OR event_id % 17 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY frame) AS segment FROM f)
 SELECT source_id, CAST(segment AS BIGINT) AS segment, min(frame) AS start_frame, max(frame) + 1 AS end_frame, count(*) AS n_frames FROM g GROUP BY source_id, segment""",
-    "frame_index_faults": f"WITH {FRAMES}, f AS (SELECT source_id, frame, coalesce(lag(frame) OVER (PARTITION BY source_id ORDER BY frame) + 1, 0) AS expected FROM frames WHERE event_id % 9 <> 0) SELECT * FROM f WHERE frame <> expected",
+    "frame_index_faults": f"WITH {FRAMES}, x AS (SELECT source_id, frame + frame // 9 AS frame FROM frames), f AS (SELECT source_id, frame, coalesce(lag(frame) OVER (PARTITION BY source_id ORDER BY frame) + 1, 0) AS expected FROM x) SELECT * FROM f WHERE frame <> expected",
     "interval_checkpoints": f"""WITH {RUNS}, {_gaps('runs', 2)}
 SELECT source_id, s AS start_frame, array_to_string(list_sort(list_distinct(list_concat(range(s, e, 5), [(s + e - 1) // 2, e - 1]))), ',') AS checkpoints FROM merged""",
     "short_gap_candidates": f"WITH {FRAMES}, f AS (SELECT source_id, frame, lead(frame) OVER (PARTITION BY source_id ORDER BY frame) AS next_frame FROM frames WHERE {MASKED}) SELECT source_id, frame, next_frame, next_frame - frame AS gap FROM f WHERE next_frame - frame > 1 AND next_frame - frame <= 9",
