@@ -130,18 +130,29 @@ def train(rows: list[tuple[str, int]]) -> Model:
 
 
 class _Words(dict):
-    """A word's summed weight, number of features and hash."""
-
-    def __init__(self, weight: list[float]) -> None:
-        self.weight = weight
-
-    def __missing__(self, word: str) -> tuple[float, int, int]:
+    """Places of words in three tables: a word's summed weight, its number of features and its hash."""
+
+    def __init__(self, weight: np.ndarray) -> None:
+        self.weight = weight.tolist()
+        self.sums, self.counts, self.hashes = np.empty(1 << 12), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        if at == len(self.sums):
+            self.sums, self.counts, self.hashes = (np.concatenate([x, np.empty_like(x)]) for x in (self.sums, self.counts, self.hashes))
+        f, w = word_features(word), self.weight
+        self.sums[at], self.counts[at], self.hashes[at] = sum([w[i] for i in f]), len(f), word_hash(word)
+        return at
+
+    def features(self, text: str) -> tuple[float, int, np.ndarray]:
+        """The summed weights of the features of a text's words, their number, and the buckets of its pairs."""
         if len(self) > REMEMBERED:
             self.clear()
-        f = word_features(word)
-        w = self.weight
-        out = self[word] = (sum([w[i] for i in f]), len(f), word_hash(word))
-        return out
+        words = text.split()
+        if not words:
+            return 0.0, 0, np.empty(0, np.int64)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return float(self.sums[at].sum()), int(self.counts[at].sum()), pair_buckets(self.hashes[at])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = SAMPLE, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -154,16 +165,11 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def of(batch: pa.RecordBatch) -> dict:
         weight, bias = shared.value
-        words = worker_cache(key, lambda: _Words(weight[:BUCKETS].tolist()))
-        scores = []
+        known, scores = worker_cache(key, lambda: _Words(weight[:BUCKETS])), []
         for text in texts(batch.column(at)):
-            parts = text.split()
-            total, n = 0.0, 0
-            if parts:
-                got = list(map(words.__getitem__, parts))
-                sums, counts, hashes = zip(*got, strict=True)
-                pairs = weight[pair_buckets(np.array(hashes, dtype=np.uint64))]
-                total, n = math.fsum(sums) + float(pairs.sum()), sum(counts) + len(pairs)
+            total, n, pairs = known.features(text)
+            if len(pairs):
+                total, n = total + float(weight[pairs].sum()), n + len(pairs)
             z = bias + (total / n if n else 0.0)
             scores.append(1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z)))))
         return {c: batch.column(i) for i, c in enumerate(columns)} | {out: scores}
