@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audit, detection, intervals, relations, streams
+from . import assembly, audit, detection, intervals, relations, streams
 
-MODULES = (detection, intervals, audit, relations, streams)
+MODULES = (detection, intervals, audit, relations, assembly, streams)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
