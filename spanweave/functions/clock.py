@@ -33,8 +33,14 @@ def srt_milliseconds(stamp: Column) -> Column:
     return F.when((m < 60) & (s < 60), ((h * 60 + m) * 60 + s) * 1000 + ms)
 
 
-def frame_boundary(seconds: Column, rate_num: Column, rate_den: Column, tolerance: float = 1e-4) -> Column:
-    """The first frame at or after a time: a whole number within the tolerance, else the next."""
+def frame_boundary(seconds: Column, rate_num: Column, rate_den: Column, precision: float = 0.0) -> Column:
+    """The first frame at or after a time: a whole number where only noise keeps it from one, else the next.
+
+    Noise is 8 units in the last place, or what a time rounded to the given precision (in seconds) may be off, in frames
+    and 1e-4 of a frame at most; so no real part of a frame is taken for it.
+    """
     value = seconds * rate_num / rate_den
     near = F.bround(value, 0)
+    unit = F.when(value == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.abs(value))) - 52))
+    tolerance = F.greatest(8 * unit, F.least(F.lit(1e-4), F.lit(precision) * rate_num / rate_den))
     return F.when(F.abs(value - near) <= tolerance, near).otherwise(F.ceil(value)).cast("bigint")

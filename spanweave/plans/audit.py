@@ -216,7 +216,7 @@ def scene_cut_frames(spark, d):
 def sampled_frames(spark, d):
     """Frames to inspect: every 7th, and those at a scene change; and the frame at a time's bound."""
     f = derived.frames(spark, d).where("frame % 7 = 0 OR event_id % 17 = 0")
-    return f.select("source_id", "frame", clock.frame_boundary(F.col("frame") / 30, F.lit(30), F.lit(1)).alias("from_seconds"))
+    return f.select("source_id", "frame", clock.frame_boundary(F.col("frame") / 30, F.lit(30), F.lit(1)).alias("from_seconds"), clock.frame_boundary((2 * F.col("frame") + F.col("frame") % 2) / 60, F.lit(30), F.lit(1)).alias("from_halves"))
 
 
 def clock_texts(spark, d):
@@ -377,7 +377,7 @@ r AS (SELECT *, CAST(coalesce(sum(frames) OVER (PARTITION BY source_id ORDER BY
     "colour_step_reset": f"WITH {FRAMES}, f AS (SELECT source_id, frame + frame // 9 AS frame, floor(value) AS c FROM frames) SELECT source_id, frame, lag(frame) OVER k IS NULL OR frame <> lag(frame) OVER k + 1 OR abs(c - lag(c) OVER k) > 40 AS resets FROM f WINDOW k AS (PARTITION BY source_id ORDER BY frame)",
     "scene_cut_frames": f"""WITH {FRAMES}, v AS (SELECT source_id, frame, i, abs(event_id * i * 31 % 100 - lag(event_id * i * 31 % 100) OVER (PARTITION BY source_id, i ORDER BY frame)) AS dv FROM frames, range(1, 7) t(i)),
 g AS (SELECT source_id, frame, CAST(sum(dv) AS BIGINT) AS total, count(*) FILTER (dv > 12) AS large FROM v WHERE dv IS NOT NULL GROUP BY 1, 2) SELECT * FROM g WHERE total > 38 * 6 OR (large > 6 * 0.18 AND total > 30)""",
-    "sampled_frames": f"WITH {FRAMES} SELECT source_id, frame, frame AS from_seconds FROM frames WHERE frame % 7 = 0 OR event_id % 17 = 0",
+    "sampled_frames": f"WITH {FRAMES} SELECT source_id, frame, frame AS from_seconds, frame + frame % 2 AS from_halves FROM frames WHERE frame % 7 = 0 OR event_id % 17 = 0",
     "greedy_track_assignment": f"WITH {REGIONS} SELECT source_id, count(*) AS regions, CAST(0 AS BIGINT) AS faults FROM regions GROUP BY 1",
     "anchor_static_runs": f"WITH {REGIONS} SELECT source_id, count(*) AS regions, CAST(0 AS BIGINT) AS faults FROM regions GROUP BY 1",
     "coalesced_frames": f"""WITH {REGIONS}, r AS (SELECT *, CASE WHEN frame % 50 = 0 THEN 'reviewed_word' ELSE 'domain' END AS kind FROM regions),

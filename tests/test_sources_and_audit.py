@@ -61,8 +61,11 @@ def test_boxes(spark):
 
 
 def test_times(spark):
-    row = spark.range(1).select(clock.minutes(F.lit(61234)), clock.hours(F.lit(3661234)), clock.frame_boundary(F.lit(0.1 + 0.2), F.lit(10), F.lit(1)), clock.frame_boundary(F.lit(0.45), F.lit(10), F.lit(1)), clock.frame_boundary(F.lit(199.666667), F.lit(30), F.lit(1)))
+    row = spark.range(1).select(clock.minutes(F.lit(61234)), clock.hours(F.lit(3661234)), clock.frame_boundary(F.lit(0.1 + 0.2), F.lit(10), F.lit(1)), clock.frame_boundary(F.lit(0.45), F.lit(10), F.lit(1)), clock.frame_boundary(F.lit(199.666667), F.lit(30), F.lit(1), 5e-7))
     assert tuple(row.first()) == ("01:01.234", "01:01:01.234", 3, 5, 5990)
+    # A time that was given as it is keeps its part of a frame; no precision makes 1e-4 of a frame noise.
+    given = [clock.frame_boundary(F.lit(t), F.lit(30), F.lit(1), p) for t, p in ((199.666667, 0.0), (1 + 1e-6, 0.0), (1 + 1e-5, 1.0), (0.0, 0.0), (1 + 3e-6, 1.0))]
+    assert tuple(spark.range(1).select(*given).first()) == (5991, 31, 31, 0, 30)
 
 
 def test_coverage_precedence(spark):
