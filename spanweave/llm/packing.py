@@ -5,6 +5,9 @@ open sequence has a residual capacity for each of the three. Pieces are taken lo
 can hold a piece under every constraint, either the weighted dot product of residual and demand or the weighted norm
 of the residual that would be left is least (both relative to the capacities); ties go to the oldest sequence.
 
+With as many places and as much attention as a full sequence of single tokens would take (the limits that Capacity has
+by default, and those of the query), neither binds: tokens alone decide, and the choice is that of plain best fit.
+
 Pieces are dealt by a hash of their identity into groups of bounded expected size, and groups are packed on their own,
 so no task ever holds all pieces; a group loses at most its last, partly filled sequences. Full pieces need no search.
 
