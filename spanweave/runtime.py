@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -23,10 +24,13 @@ _SCRATCH: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Where that setting is unset (a single machine, as in tests) a temporary folder takes its place.
+    Where that setting is unset on a single machine, as in tests, a temporary folder takes its place; on a cluster that is
+    an error, as its executors share no such folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if "local" not in _SCRATCH:
             folder = tempfile.TemporaryDirectory(prefix="spanweave-", ignore_cleanup_errors=True)
             atexit.register(folder.cleanup)
