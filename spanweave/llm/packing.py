@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts, worker_cache
+from .common import map_arrow, numbered, texts, worker_cache
 
 #: Rows that a packing group holds on average at most.
 GROUP_ROWS = 8192
@@ -168,6 +168,11 @@ def best_fit(lengths: np.ndarray, limit: Capacity) -> tuple[np.ndarray, np.ndarr
 
 def pack(df: DataFrame, vocabulary: str, limit: Capacity = Capacity(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each piece with the sequence that holds it and its offset there."""
+    # Rows are dealt by unique numbers, so equal ones, however many, do not meet in one group.
+    rows, row = numbered(df.select(id_col, text_col), id_col)
+    if row != id_col:
+        packed = pack(rows.select(row, text_col), vocabulary, limit, end_id, row, text_col)
+        return packed.join(rows.select(row, id_col), row).select(id_col, *[c for c in packed.columns if c != row])
     bound = df.agg(F.sum(1 + F.floor(F.coalesce(F.octet_length(text_col), F.lit(0)) / limit.piece))).first()[0] or 0
     groups = max(1, -(-bound // GROUP_ROWS))
     kind = df.schema[id_col].dataType.simpleString()

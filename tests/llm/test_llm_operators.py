@@ -152,6 +152,16 @@ def test_packing(spark, limit):
     assert packing.pack(docs(spark, []), path, limit).count() == 0
 
 
+def test_equal_rows_are_packed_apart(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 20)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack(docs(spark, [(None, "a b c")] * 200 + [(1, "x y")] * 100), path, packing.Capacity(tokens=64))
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    groups = [r["n"] for r in got.groupBy(F.floor(F.col("sequence_id") / (1 << 32)).alias("g")).agg(F.count("*").alias("n")).collect()]
+    assert sum(groups) == 300 and len(groups) > 5 and max(groups) < 100
+    assert got.where("doc_id is null").count() == 200
+
+
 def test_word_ids_equal_the_tokenizer():
     words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
     pool = [*"abXYZ .,!?'sS\t\n\r\x0b\x1c\x85\xa0éÉñßİΣςσ09²ⅷ中😀́​　%$&*#|<>ﬁǅ", "<|endoftext|>", "'ll", "don't", " I'M ", "ŸŽ"]
