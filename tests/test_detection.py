@@ -1,5 +1,7 @@
 """The rules of detection, in texts of our own."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,15 @@ def test_glyph_trigger(spark):
     even = [(0.1 * i, 0.4, 0.08, 0.1) for i in range(3)]
     assert line(spark, "abc", 0, 1, even).select(needs_independent_geometry(F.col("chars"))).first()[0] is False
     assert line(spark, "abc", 0, 1, even[:2] + even[:1]).select(needs_independent_geometry(F.col("chars"))).first()[0] is True
+
+
+def test_no_text_with_a_span_is_without_a_trigger(spark):
+    rng = random.Random(12)
+    pool = ["shop", "a", "b1", ".", "．", " . ", ". ", " .", "com", "COM", "me", "io", "eu", "xn--p1ai", "İo", "ıo", "tesſt", "\u212a", "www", "http", "https", " : ", ":", "//", "／", "/", "?q", "#", "@", "13812345678", "tel: 555 1234", "/home/", "C:\\Users\\", " dot ", "点", "一三八", "email", "加我", "\n", " ", "é", "-", "_", "(", "x.py", "。"]
+    cases = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(6000)]
+    for policy in (d.Policy(), d.Policy(privacy=True, channel="audio")):
+        wanted = {t for t in cases if d.candidates(t, policy)}
+        df = spark.createDataFrame([(t,) for t in cases], "text string")
+        passed = {r.text for r in df.where(F.col("text").rlike(d.trigger(policy))).collect()}
+        assert wanted <= passed and len(wanted) > 300, sorted(wanted - passed)[:5]
+    assert spark.createDataFrame([("A sentence. And another one. Was it 3. or 4? Yes.",)], "text string").where(F.col("text").rlike(d.trigger(d.Policy()))).count() == 0
