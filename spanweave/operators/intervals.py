@@ -42,9 +42,9 @@ def merge_gaps(df: DataFrame, keys: list[str], max_gap: int, extra: list[Column]
     return _merged(known, keys, F.col("__before").isNull() | (F.col("start") - F.col("__before") > max_gap), extra or [])
 
 
-def bad_intervals(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that a sorted list of disjoint, nonempty intervals must not have."""
-    w = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+def bad_intervals(df: DataFrame, keys: list[str], event: str = "event_id") -> DataFrame:
+    """Rows that a sorted list of disjoint, nonempty intervals must not have; of equal intervals the least event comes first."""
+    w = Window.partitionBy(*keys).orderBy("start", "end", event).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("__before", F.max("end").over(w)).where((F.col("start") >= F.col("end")) | (F.col("start") < F.col("__before"))).drop("__before")
 
 

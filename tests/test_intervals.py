@@ -59,3 +59,10 @@ def test_empty_input(spark):
     none = spark.createDataFrame([], "k int, start bigint, end bigint")
     assert op.merge_gaps(none, ["k"], 0).count() == 0
     assert timeline(spark, [(1, 1, 0, 5)], []).count() == 1
+
+
+def test_of_equal_intervals_the_least_event_is_good(spark):
+    rows = [(1, 1, 0, 5), (1, 2, 10, 20), (1, 3, 10, 20), (1, 4, 10, 20), (1, 5, 30, 31)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, "k int, event_id int, start bigint, end bigint").coalesce(1)
+        assert got(op.bad_intervals(df, ["k"]), "event_id") == [(3,), (4,)]
